@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, neardup
+from . import decontaminate, langid, mixing, neardup, warc
 from .common import table
 
 
@@ -16,11 +16,13 @@ def _documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": _documents(langid.query),
+    "op3_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
     "op4_near_duplicates": _documents(neardup.query),
     "op7_decontamination": lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op10_source_mixing": _documents(mixing.query),
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
