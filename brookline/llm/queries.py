@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, neardup, quality_rules, warc
+from . import decontaminate, langid, mixing, neardup, quality_rules, secrets, warc
 from .common import table
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": _documents(langid.query),
     "op3_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
     "op4_near_duplicates": _documents(neardup.query),
+    "op5_secret_scan": _documents(secrets.query),
     "op7_decontamination": lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_quality_rules": _documents(quality_rules.query),
     "op10_source_mixing": _documents(mixing.query),
