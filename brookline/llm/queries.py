@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, neardup, quality_rules, secrets, toxicity, warc
+from . import decontaminate, langid, maxent, mixing, neardup, quality_rules, secrets, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
     "op4_near_duplicates": _documents(neardup.query),
     "op5_secret_scan": _documents(secrets.query),
+    "op6_lm_score": _documents(maxent.query),
     "op7_decontamination": lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op8_toxicity": lambda spark, sf_dir: toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_quality_rules": _documents(quality_rules.query),
