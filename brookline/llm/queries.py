@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, maxent, mixing, neardup, quality_rules, secrets, toxicity, warc
+from . import decontaminate, langid, maxent, mixing, neardup, quality_model, quality_rules, secrets, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,7 @@ def _documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": _documents(quality_model.query),
     "op2_language_id": _documents(langid.query),
     "op3_warc": lambda spark, sf_dir: warc.query(table(spark, sf_dir, "pages")),
     "op4_near_duplicates": _documents(neardup.query),

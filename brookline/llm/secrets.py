@@ -229,8 +229,8 @@ def _tagged(spans: Column, order: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_docs: int = 4096) -> DataFrame:
-    """docs with ``spans`` added: array of (start, order of the kind, end, kind), sorted."""
+def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_docs: int = 4096, name: str = "spans") -> DataFrame:
+    """docs with a column of spans added: array of (start, order of the kind, end, kind), sorted."""
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not None}
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -249,7 +249,7 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_docs: int
             wanted = F.col("__text").rlike(f"(?:{r.regex[:-1]}){{{r.least},}}" if r.regex.endswith("]+") else java_regex(r))
         one = F.when(wanted, _tagged(_found(r, F.col("__text")), order, r.kind))
         parts.append(F.coalesce(one, F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")))
-    return d.select("__row", F.array_sort(F.concat(*parts)).alias("__spans")).select("__row.*", F.col("__spans").alias("spans"))
+    return d.select("__row", F.array_sort(F.concat(*parts)).alias("__spans")).select("__row.*", F.col("__spans").alias(name))
 
 
 def _joined(spans: Column) -> Column:
@@ -258,7 +258,7 @@ def _joined(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret in text replaced by a placeholder; overlapping spans are one."""
-    d = with_spans(docs.select(*docs.columns), rules)
+    d = with_spans(docs, rules, name="__spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -266,8 +266,8 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         mark = F.when(s["start"] >= acc["at"], F.lit("[secret]")).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before, mark).alias("out"))
 
-    done = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    return d.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).drop("spans")
+    done = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
+    return d.withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))).drop("__spans")
 
 
 def query(docs: DataFrame) -> DataFrame:
