@@ -126,7 +126,7 @@ def bitmap(item_win: DataFrame, bits: int = BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float = 0.5, consistent: float = 0.8, least_words: int = 4, bits: int = BITS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float = 0.5, consistent: float = 0.9, least_words: int = 4, bits: int = BITS) -> DataFrame:
     """doc_id, text_hash, item_id, coverage, slots_agreeing: texts that hold an item or a variant of it."""
     item_win = written(item_windows(items, width, least_words), "decontaminate-items")
     widths = sorted(r[0] for r in item_win.select(F.size("slots")).distinct().collect())  # at most ``width`` numbers
