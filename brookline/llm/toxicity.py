@@ -67,9 +67,29 @@ class Text:
         gram = np.concatenate([three, four[place == 3], five[place == 4]])
         owner = np.concatenate([of, of[place == 3], of[place == 4]])
         by = np.argsort(owner, kind="stable")
-        self.gram, self.owner = (gram[by] >> np.uint64(48)).astype(np.int64), owner[by]
+        self.gram = (gram[by] >> np.uint64(48)).astype(np.int32)
         self.n_grams = np.bincount(owner, minlength=len(at)) if len(at) else np.zeros(0, np.int64)
 
+    @classmethod
+    def of(cls, texts: pa.Array) -> Text:
+        """Many texts as one, read a chunk at a time."""
+        parts = [cls(c) for c in chunks(texts)]
+        t = cls.__new__(cls)
+        t.rows = len(texts)
+        rows = np.cumsum([0, *(p.rows for p in parts)])
+        t.row = np.concatenate([p.row + r for p, r in zip(parts, rows, strict=False)])
+        t.hash, first, same = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
+        begin = np.cumsum([0, *(len(p.hash) for p in parts)])
+        t.word = np.concatenate([same[p.word + k] for p, k in zip(parts, begin, strict=False)])
+        n = np.concatenate([p.n_grams for p in parts])
+        t.n_grams = n[first]
+        t.gram = np.concatenate([p.gram for p in parts])[_runs((np.cumsum(n) - n)[first], t.n_grams)]
+        return t
+
+    def grams_of(self, which: np.ndarray) -> np.ndarray:
+        """Positions in ``gram`` of all n-grams of some distinct words, word by word."""
+        return _runs((np.cumsum(self.n_grams) - self.n_grams)[which], self.n_grams[which])
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of distinct words plus 1 by window and step (0: padding), and the row of each window."""
         n = np.bincount(self.row, minlength=self.rows)
@@ -82,6 +102,11 @@ class Text:
         return np.where(inside, self.word[np.minimum(at, max(0, len(self.word) - 1))] + 1, 0) if len(self.word) else np.zeros((0, WINDOW), np.int64), row
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then from start[1], and so on."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -104,11 +129,13 @@ class Network:
         i = np.minimum(np.searchsorted(self.vocabulary, t.hash), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[i] == t.hash, i + 1, 0)
 
-    def vectors(self, t: Text) -> np.ndarray:
-        """Vectors of the padding and of the distinct words."""
-        first = np.cumsum(t.n_grams) - t.n_grams
-        mean = np.add.reduceat(self.p["gram"][t.gram], first) / t.n_grams[:, None].astype(np.float32) if len(t.gram) else np.zeros((len(t.hash), DIM), np.float32)
-        return np.concatenate([self.p["pad"], self.p["word"][self.ids(t)] + 2 * mean])
+    def vectors(self, t: Text, which: np.ndarray | None = None) -> np.ndarray:
+        """Vectors of the padding and of the distinct words, or of some of them."""
+        n = t.n_grams if which is None else t.n_grams[which]
+        gram = t.gram if which is None else t.gram[t.grams_of(which)]
+        ids = self.ids(t) if which is None else self.ids(t)[which]
+        mean = np.add.reduceat(self.p["gram"][gram], np.cumsum(n) - n) / n[:, None].astype(np.float32) if len(gram) else np.zeros((len(n), DIM), np.float32)
+        return np.concatenate([self.p["pad"], self.p["word"][ids] + 2 * mean])
 
     def direction(self, d: str, proj: np.ndarray, win: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         n, steps = win.shape
@@ -173,21 +200,16 @@ class Network:
 
     def step(self, t: Text, win: np.ndarray, y: np.ndarray, state: dict, rate: float) -> None:
         """One Adagrad step on windows of a chunk's distinct words."""
-        used, local = np.unique(win, return_inverse=True)
-        vec = self.vectors(t)
-        g, dvec = self.gradients(vec[used], local.reshape(win.shape), y)
-        full = np.zeros_like(vec)
-        full[used] = dvec
-        ids = self.ids(t)
-        touched = used[used > 0] - 1
-        gw = np.zeros((len(self.p["word"]), DIM), np.float32)
-        np.add.at(gw, ids[touched], full[touched + 1])
+        used = np.unique(win)
+        used = used[used > 0] - 1
+        local = np.where(win > 0, np.searchsorted(used, win - 1) + 1, 0)
+        g, dvec = self.gradients(self.vectors(t, used), local, y)
+        gw, gg = np.zeros((len(self.p["word"]), DIM), np.float32), np.zeros((GRAMS, DIM), np.float32)
+        np.add.at(gw, self.ids(t)[used], dvec[1:])
         gw[0] = 0
-        mine = np.isin(t.owner, touched)
-        owner = t.owner[mine]
-        gg = np.zeros((GRAMS, DIM), np.float32)
-        np.add.at(gg, t.gram[mine], 2 * full[owner + 1] / t.n_grams[owner][:, None])
-        g |= {"word": gw, "gram": gg, "pad": full[:1]}
+        n = t.n_grams[used]
+        np.add.at(gg, t.gram[t.grams_of(used)], np.repeat(2 * dvec[1:] / n[:, None].astype(np.float32), n, axis=0))
+        g |= {"word": gw, "gram": gg, "pad": dvec[:1]}
         for k, v in g.items():
             s = state.setdefault(k, np.full_like(self.p[k], 1e-6))
             s += v * v
@@ -215,7 +237,7 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CH
         net.prior = float(counts.get(1, 0) / total) if total else 0.0
         net.p["out"][:], net.p["bias"][:] = 0, np.log((net.prior + 1e-6) / (1 - net.prior + 1e-6))
         return net
-    (t,) = (Text(c) for c in chunks(sample.column("text").combine_chunks(), 1 << 40))
+    t = Text.of(sample.column("text").combine_chunks())
     n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
 
     def by_label(item: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,10 +252,12 @@ def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CH
     net = Network(t.hash[chosen], rng)
     net.prior = counts.get(1, 0) / total
     net.p["word"][1:, 0] = lo[chosen] / 2
-    n_of = t.n_grams[t.word]
-    first = (np.cumsum(t.n_grams) - t.n_grams)[t.word]
-    at = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of) + np.repeat(first, n_of)
-    gpos, gneg = by_label(t.gram[at], np.repeat(t.row, n_of), GRAMS)
+    gpos, gneg = np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)
+    for lo in range(0, t.rows, 128):
+        part = slice(*np.searchsorted(t.row, [lo, lo + 128]))
+        word = t.word[part]
+        more = by_label(t.gram[t.grams_of(word)], np.repeat(t.row[part], t.n_grams[word]), GRAMS)
+        gpos, gneg = gpos + more[0], gneg + more[1]
     net.p["gram"][:, 0] = _log_odds(gpos, gneg, n_pos, n_neg, 5) / 2
     win, row = t.windows()
     vec0 = net.vectors(t)[:, 0]
