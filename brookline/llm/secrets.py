@@ -187,8 +187,9 @@ def doc_key() -> Column:
 def index(docs: DataFrame, vocabulary: list[str], block_docs: int = 4096) -> DataFrame:
     """block, trigram, keys: the postings of the vocabulary's trigrams in the lower-cased texts."""
     blocks = max(1, docs.count() // block_docs)
-    d = docs.select(doc_key().alias("key"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    d = d.select("key", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary)])).alias("has"))
+    # a lambda's argument is evaluated once: the text is lower-cased once for all trigrams
+    has = F.transform(F.array(F.lower(F.coalesce("text", F.lit("")))), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary)])))
+    d = docs.select(doc_key().alias("key"), has[0].alias("has"))
     d = d.select("key", F.explode("has").alias("t"))
     names = F.array(*[F.lit(t) for t in vocabulary])
     return d.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "t").agg(F.collect_set("key").alias("keys")).select("block", F.get(names, F.col("t")).alias("trigram"), "keys")
