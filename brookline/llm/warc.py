@@ -30,13 +30,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, written
 
 SHARD_BYTES, ROLL_BYTES, LEAST_DUP = 64 << 20, 32 << 20, 100
-CELLS = 4096
+CELLS = 1 << 14
 EPOCH = "1970-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -103,16 +103,13 @@ def write(pages: DataFrame, shard_bytes: int = SHARD_BYTES, roll_bytes: int = RO
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html").cast("long"))
 
+    # shards from sizes by cell of page_id; the table has CELLS + 1 rows at most, so it may be broadcast
     low, high = p.agg(F.min("page_id"), F.max("page_id")).first()
     cell = _cell(low or 0, high or 0)
-    sizes = sorted((r[0], r[1]) for r in p.groupBy(cell.alias("cell")).agg(F.sum("bytes")).collect())  # CELLS + 1 rows at most
-    shards, held, starts = 0, 0, []
-    for c, n in sizes:
-        if not starts or held >= shard_bytes:
-            starts, held, shards = [*starts, (c, shards)], 0, shards + 1
-        held += n
-    cuts = F.array(*[F.lit(c) for c, _ in starts[1:]]).cast("array<long>")
-    shard = F.size(F.filter(cuts, lambda x: x <= F.col("cell"))) if len(starts) > 1 else F.lit(0)
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    cells = p.groupBy(cell.alias("at")).agg(F.sum("bytes").alias("held")).withColumn("shard", F.floor(F.coalesce(F.sum("held").over(before), F.lit(0)) / shard_bytes).cast("int"))
+    cells = written(cells.select("at", "shard"), "warc-cells")
+    shards = cells.agg(F.countDistinct("shard")).first()[0]
 
     # which records revisit another: only ids and digests are shuffled for it, the payloads once
     narrow = p.where(F.col("bytes") >= least_dup).select("page_id", "digest")
@@ -121,7 +118,7 @@ def write(pages: DataFrame, shard_bytes: int = SHARD_BYTES, roll_bytes: int = RO
     marks = marks.select("page_id", "digest", "refers_to").distinct()
     rows = p.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     rows = rows.unionByName(marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("html"), "refers_to"))
-    rows = rows.withColumn("cell", cell).withColumn("shard", shard.cast("int")).drop("cell")
+    rows = rows.withColumn("cell", cell).join(F.broadcast(cells), F.col("cell") == F.col("at")).drop("cell", "at")
     rows = rows.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
