@@ -5,7 +5,8 @@ under each candidate; Viterbi with a penalty for switching labels runs of words.
 is the one whose spans hold the most letters, its score the share of letters there.
 
 The model is fitted on a bounded sample of rows with a language: ``max_train`` of them, those
-with the smallest hash of doc_id. It is languages x (2^15 buckets + scripts) numbers. All rows
+with the smallest hash of doc_id, of the ``MAX_LANGS`` most frequent languages there. It is languages x (2^15 buckets
++ scripts) numbers, so of bounded size. All rows
 are predicted, whole texts.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; rows with a null
@@ -27,7 +28,7 @@ from .common import remainder
 from .textvec import SPACE, chunks
 
 BUCKETS = 1 << 15
-MAX_TRAIN = 20_000
+MAX_TRAIN, MAX_LANGS = 20_000, 256
 SWITCH = 6.0
 #: Code point ranges of scripts, as in the Unicode block list.
 SCRIPTS = [
@@ -84,6 +85,9 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     top = 1 << 30
     chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(top)) < min(top, top * max_train // total)
 
+    sample = train.where(chosen)
+    most = [r[0] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -102,7 +106,7 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN) -> dict:
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(s[at])], ["lang", "bucket", "n"])
 
-    seen = train.where(chosen).select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen = sample.where(F.col("lang").isin(most)).select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(seen.column("lang").to_pylist()), key=lambda x: x.encode())
     index = {x: i for i, x in enumerate(names)}
     n = np.zeros((BUCKETS + len(NAMES), len(names)))
