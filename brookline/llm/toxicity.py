@@ -221,14 +221,19 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, least: i
     return np.where(pos + neg >= least, np.clip(lo, -3, 3), 0.0).astype(np.float32)
 
 
-def fit(labelled: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, epochs: int = 6, seed: int = 7) -> Network:
-    """labelled: doc_id, text, toxic (0 or 1)."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, epochs: int = 6, seed: int = 7) -> Network:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1), a row for each doc_id.
+
+    The sample is drawn from the labels, so that only its bounded set of ids is sent to the texts.
+    """
     top = 1 << 30
-    given = labelled.where("toxic is not null and length(text) > 0").where(F.length("text") <= max_chars)
-    counts = {int(r[0]): r[1] for r in given.groupBy("toxic").count().collect()}
-    cut = F.when(F.col("toxic") == 1, F.lit(min(top, top * max_train // max(1, counts.get(1, 0))))).otherwise(F.lit(min(top, top * max_train // max(1, counts.get(0, 0)))))
+    given = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("y"))
+    counts = {r[0]: r[1] for r in given.groupBy("y").count().collect()}
+    share = {y: min(top, top * max_train // max(1, counts.get(y, 0))) for y in (0, 1)}
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(top))
-    sample = given.where(key < cut).select(key.alias("k"), "doc_id", "text", F.col("toxic").cast("int").alias("y")).toArrow().sort_by([("k", "ascending"), ("doc_id", "ascending")])
+    chosen = given.where(key < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select(key.alias("k"), F.col("doc_id").alias("__id"), "y")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where(F.length("text").between(1, max_chars))
+    sample = texts.select("k", "doc_id", "text", "y").toArrow().sort_by([("k", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     y = sample.column("y").to_numpy().astype(np.float32)
     rng = np.random.default_rng(seed)
     total = sum(counts.values())
@@ -307,7 +312,6 @@ def score(docs: DataFrame, net: Network, keep: list[Column]) -> DataFrame:
 
 def query(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     held = remainder("doc_id", 3) == 1
-    marks = labels.select(F.col("doc_id").alias("__id"), "toxic").dropDuplicates(["__id"])
-    train = docs.where(~held).join(marks, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
-    out = score(docs, fit(train), [F.col("doc_id"), held.alias("held_out")])
+    net = fit(docs, labels.where(~held).select("doc_id", "toxic").dropDuplicates(["doc_id"]))
+    out = score(docs, net, [F.col("doc_id"), held.alias("held_out")])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_windows")
