@@ -354,6 +354,31 @@ def test_decontamination_finds_all_planted(spark):
     assert sum(bool(x) for x in got.values()) <= 1.1 * sum(bool(x) for x in want.values())
 
 
+def test_decontamination_case_lengths_passages(spark):
+    apples = "If Alice has 12 apples and gives Bob 5 apples, how many apples does Alice have left over?"
+    long_ = " ".join(f"term{i}" for i in range(100))
+    values = "3 14 15 92 65 35 89 79 32 38"
+    items = spark.createDataFrame([(1, apples), (2, long_), (3, values), (4, "12 + 7")], "item_id long, text string")
+    filler = "and so the long story went on and on without any end that people could see "
+    rows = [
+        (1, filler + apples.lower(), [1]), (2, filler + apples.upper() + filler, [1]), (3, filler + apples.lower().replace("12", "90"), [1]),
+        (4, filler + apples.replace("Bob", "Mary Jane"), [1]), (5, filler + apples.replace("how many", "then pray tell how many"), [1]),
+        (6, filler + " ".join(f"term{i}" for i in range(40, 60)) + " " + filler, [2]), (7, filler + values, [3]),
+        (8, filler + " ".join(f"term{i}" for i in range(40, 50)) + " " + filler, []), (9, filler + "3 14 16 and 18", []),
+        (10, filler + "If Carol has 90 apples and gives Mary Jane 7 apples, how many apples does Emma have left over?", []),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: [i for i in r.item_ids if i != 4] for r in decontaminate.query(docs, items).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+def test_decontamination_chain():
+    hits = [(10, 0, [(1, 5)]), (11, 1, []), (12, 9, []), (15, 2, []), (16, 3, [(1, 6)])]
+    assert decontaminate._chain(hits) == [0, 1, 3, 4]
+    assert decontaminate.judged(hits, 0, 8, 8, 15, 0.5, 0.8, 0.9, 13) is None
+    assert decontaminate.judged([*hits[:4], (16, 3, [(1, 5)])], 0, 8, 8, 15, 0.5, 0.8, 0.9, 13) == (0.5, 1.0)
+
+
 # ---- 8
 
 
