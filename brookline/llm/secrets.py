@@ -11,7 +11,8 @@ makes a needless candidate. Blocks hold about ``block_docs`` keys each, so no po
 unbounded, and copies of one text share a key.
 
 Spans count code points, end exclusive. For each kind matches are leftmost and do not overlap;
-matches that fail their length are dropped after matching, so they still consume their text.
+matches that fail their length are dropped after matching, so they still consume their text. A private
+key spans its header, body and END line; without an END line, the lines of base64 after the header.
 
 Defined results: a null text is empty and has no spans; null doc_ids are kept; repeated rows get equal
 results; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -49,6 +50,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 20, 0, True),
     Rule("hex", r"[0-9a-f]+", 24, 0, True),
 )
+#: Lines that follow the header of a private key without an END line: base64, or its two header fields. Line ends may be escaped, or long runs stand
+#: after spaces. Possessive, so that Java's matcher loops over the lines and does not recurse.
+_KEY_LINES = (
+    r"(?:(?:(?:[ \t\r]|\\r)*+(?:\n|\\n))++[ \t]*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/=]++(?=[ \t\r]*(?:\n|\\|$)))"
+    r"|[ \t]++(?:[A-Za-z0-9+/]{40,}+={0,2}|[A-Za-z0-9+/]++={1,2}))*+"
+)
 #: Formats of well-known credentials.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -56,8 +63,8 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("privatekey", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@[A-Za-z0-9.-]+"),
+    Rule("privatekey", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,32}PRIVATE KEY-----|" + _KEY_LINES + ")"),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]+@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + MORE
 

@@ -263,6 +263,30 @@ def test_secrets_tricky(spark, empty):
     assert secrets.query(empty).count() == 0 and secrets.redacted(empty).columns == empty.columns
 
 
+def test_secrets_whole_keys_and_long_urls(spark):
+    body = "\n".join("MIIEowIBAAKCAQEA" + "aB3/" * 12 for _ in range(25)) + "\nabc+/w=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    flat = body.replace("\n", " ")
+    rows = [
+        (1, f"see\n{begin}\n{body}\n{end}\nafter it", "see\n[secret]\nafter it"),
+        (2, f"see {begin}\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0A1B\r\n\r\n{body}\r\nand so on", "see [secret]\r\nand so on"),
+        (3, f"{begin}\n{body}\nthe rest. {begin}\n{body}\n{end}", "[secret]\nthe rest. [secret]"),
+        (4, f"a header {begin} in plain text", "a header [secret] in plain text"),
+        (5, f"x {begin} {flat} {end} y", "x [secret] y"), (6, f"x {begin} {flat} y", "x [secret] y"),
+        (7, f'"{begin}\\n' + body.replace("\n", "\\n") + '\\n"', '"[secret]\\n"'),
+        (8, f"{begin}\n" + "QUJD\n" * 100_000 + "no end", "[secret]\nno end"), (9, f"{begin}\n" + "some-thing \n" * 100_000 + end, "[secret]"),
+        (10, "get https://user:" + "x" * 300 + "@host.org/path", "get [secret]/path"), (11, "get https://" + "u" * 90 + ":pass1word@host.org", "get [secret]"),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert got == {i: want for i, _, want in rows}
+    rule = next(r for r in secrets.RULES if r.kind == "privatekey")
+    for i, text, _ in rows[:7]:
+        spans = [(m.start(), m.end()) for m in re.finditer(rule.regex, text)]
+        found = secrets.with_spans(docs.where(F.col("doc_id") == i)).select(F.filter("spans", lambda s: s["kind"] == "privatekey").alias("s")).first().s
+        assert [(s.start, s.end) for s in found] == spans
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia")) and secrets.trigram_query("[0-9a-f]+") is None
     assert secrets.trigram_query("(?:abcd|xyz)[0-9]?") == ("or", (("and", ("abc", "bcd")), "xyz"))
