@@ -209,6 +209,20 @@ def test_near_duplicates_small_blocks(spark, docs):
     assert got == brute_groups(rows)
 
 
+def test_near_duplicates_bounded_rows(spark):
+    """A hot family of short texts is cut by rows, and its blocks and slices give the links of brute force."""
+    n = 6000
+    rows = [(i, f"these five words are shared word{i // 2 if i < 40 else i}") for i in range(n)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    groups = texts.select(F.lit(n + 1).cast("long").alias("pivot"), "id", F.lit(2 / 3).alias("d"), F.col("id").alias("comp"), F.lit(True).alias("stray"))
+    pairs = neardup._block_pairs(groups, texts, neardup.BLOCK_BYTES, 0.25)
+    most = pairs.groupBy("s", "t", "other").count().agg(F.max("count")).first()[0]
+    assert most <= 2400
+    want = {(i + 1, i) for i in range(0, 40, 2)}
+    links = {(max(r), min(r)) for r in neardup._compared(pairs, 75, 5).collect()}
+    assert links == want
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = neardup.query(odd).collect()
     assert len(got) == odd.count()
