@@ -43,6 +43,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then from start[1], and so on."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 @dataclass
 class Chunk:
     """Rows ``rows`` of a batch: their bytes, and the offsets of each row within them."""

@@ -117,7 +117,33 @@ def test_language_id_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in langid.query(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_viterbi_equals_brute_force():
+def test_language_id_without_letters(spark):
+    """Letters count at any code point; marks, private use and unassigned points are none."""
+    model = langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = ["\U000e0100", "\U000f0000\U000f0001", "\U00100000 \u0301", "\U00020000\U0002a6d6", "12 \u0663 !", "\u2460"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model, [F.col("doc_id")]).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (0, 1, 2, 4, 5)) and got[3][0] != "und"
+
+
+def test_language_id_many_languages(spark):
+    """300 languages, most with few rows: none is dropped, and a crowd of one source doesn't crowd them out."""
+    import random
+
+    rng = random.Random(3)
+    words = {i: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for i in range(300)}
+    text = lambda i: " ".join(rng.choice(words[i]) for _ in range(40))
+    rows = [(n, text(n % 300), f"l{n % 300:03d}") for n in range(1200)] + [(2000 + n, text(0), "l000") for n in range(4000)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train=2000)
+    assert len(model["names"]) == 300 and model["log"].size <= langid.NUMBERS
+    held = spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string")
+    got = langid.predict(held, model, [F.col("doc_id")]).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:03d}" for r in got) >= 290
+
+
+@pytest.mark.parametrize("steps", [2, 4096])
+def test_viterbi_equals_brute_force(steps, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", steps)
     from itertools import product
 
     import numpy as np
