@@ -6,14 +6,15 @@ Every text is cut into windows of ``WINDOW`` words that overlap by half; both di
 window, attention pools the states, and the text's score is the highest of its windows.
 
 Fitting. A bounded sample of labelled rows (at most ``max_train`` of each label, those with the
-smallest hash of doc_id, texts up to ``max_chars``) is read by the driver. The first embedding dimension
-starts at log odds of words and n-grams. A label belongs to a text, so each epoch takes from every
+smallest hash of doc_id) is read by the driver; of a text over ``max_chars`` it reads ``PIECES`` pieces, evenly
+spread over the whole text, with ``max_chars`` characters together. So rows and bytes are bounded, whatever ids
+repeat. Of a doc_id with both labels the toxic one holds. The first embedding dimension starts at log odds of words and n-grams. A label belongs to a text, so each epoch takes from every
 text the windows that the model so far finds most toxic, and from clean texts random ones too.
 All rows are scored, whole texts.
 
 Defined results: a null or empty text, and one without letters or digits, gets the share of toxic rows
 in the sample; without labels of both kinds every text gets that share (0 with no labels); repeated
-rows get equal scores; other columns are ignored.
+rows get equal scores; null ids have no label; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
-from .textvec import LOWER, Chunk, chunks, hash_words, mix, words
+from .common import remainder, written
+from .textvec import LOWER, Chunk, chunks, hash_words, mix, runs, words
 
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN = 8, 8
 VOCABULARY, GRAMS = 4096, 1 << 16
-MAX_TRAIN, MAX_CHARS = 2000, 20_000
+MAX_TRAIN, MAX_CHARS, PIECES = 2000, 20_000, 10
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -83,12 +84,12 @@ class Text:
         t.word = np.concatenate([same[p.word + k] for p, k in zip(parts, begin, strict=False)])
         n = np.concatenate([p.n_grams for p in parts])
         t.n_grams = n[first]
-        t.gram = np.concatenate([p.gram for p in parts])[_runs((np.cumsum(n) - n)[first], t.n_grams)]
+        t.gram = np.concatenate([p.gram for p in parts])[runs((np.cumsum(n) - n)[first], t.n_grams)]
         return t
 
     def grams_of(self, which: np.ndarray) -> np.ndarray:
         """Positions in ``gram`` of all n-grams of some distinct words, word by word."""
-        return _runs((np.cumsum(self.n_grams) - self.n_grams)[which], self.n_grams[which])
+        return runs((np.cumsum(self.n_grams) - self.n_grams)[which], self.n_grams[which])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of distinct words plus 1 by window and step (0: padding), and the row of each window."""
@@ -102,11 +103,6 @@ class Text:
         return np.where(inside, self.word[np.minimum(at, max(0, len(self.word) - 1))] + 1, 0) if len(self.word) else np.zeros((0, WINDOW), np.int64), row
 
 
-def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... for size[0] numbers, then from start[1], and so on."""
-    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -221,19 +217,35 @@ def _log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, least: i
     return np.where(pos + neg >= least, np.clip(lo, -3, 3), 0.0).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, epochs: int = 6, seed: int = 7) -> Network:
-    """docs: doc_id, text; labels: doc_id, toxic (0 or 1), a row for each doc_id.
+def _pieces(text: Column, max_chars: int) -> Column:
+    """The text, or of a long one PIECES pieces from its start to its end."""
+    wide = max_chars // PIECES
+    at = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substring(text, (F.floor(i * (F.char_length(text) - wide) / (PIECES - 1)) + 1).cast("int"), F.lit(wide)))
+    return F.when(F.char_length(text) <= max_chars, text).otherwise(F.array_join(at, "\n"))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> tuple[DataFrame, dict[int, int]]:
+    """k, doc_id, text, y of the training sample, and the number of labelled ids by label.
 
     The sample is drawn from the labels, so that only its bounded set of ids is sent to the texts.
     """
     top = 1 << 30
-    given = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("y"))
+    given = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     counts = {r[0]: r[1] for r in given.groupBy("y").count().collect()}
     share = {y: min(top, top * max_train // max(1, counts.get(y, 0))) for y in (0, 1)}
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(top))
-    chosen = given.where(key < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).select(key.alias("k"), F.col("doc_id").alias("__id"), "y")
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where(F.length("text").between(1, max_chars))
-    sample = texts.select("k", "doc_id", "text", "y").toArrow().sort_by([("k", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    of = lambda y: given.where((F.col("y") == y) & (key < share[y])).select(key.alias("k"), F.col("doc_id").alias("__id"), "y").orderBy("k", "__id").limit(max_train)
+    chosen = of(0).unionByName(of(1))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where(F.length("text") > 0)
+    texts = written(texts.select("k", "doc_id", _pieces(F.col("text"), max_chars).alias("text"), "y"), "toxicity-sample")
+    first = lambda y: texts.where(F.col("y") == y).orderBy("k", "doc_id", "text").limit(max_train)  # noqa: E731  ids may repeat
+    return first(0).unionByName(first(1)), counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, epochs: int = 6, seed: int = 7) -> Network:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
+    sample, counts = sampled(docs, labels, max_train, max_chars)
+    sample = sample.toArrow().sort_by([("k", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     y = sample.column("y").to_numpy().astype(np.float32)
     rng = np.random.default_rng(seed)
     total = sum(counts.values())
@@ -312,6 +324,6 @@ def score(docs: DataFrame, net: Network, keep: list[Column]) -> DataFrame:
 
 def query(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     held = remainder("doc_id", 3) == 1
-    net = fit(docs, labels.where(~held).select("doc_id", "toxic").dropDuplicates(["doc_id"]))
+    net = fit(docs, labels.where(~held).select("doc_id", "toxic"))
     out = score(docs, net, [F.col("doc_id"), held.alias("held_out")])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_windows")
