@@ -4,8 +4,8 @@ Overlapping heuristic labellers vote good, bad or abstain on every text. Expecta
 (two classes, votes independent given the class) estimates each labeller's accuracy without true
 labels. Votes form at most 3^8 patterns, so counting patterns over all texts, pre-aggregated in every
 task, is all that EM needs from the corpus. The posterior of a text's pattern is its soft label; on a
-bounded sample (``max_train`` texts, those with the smallest hash of doc_id) the soft labels train a
-linear scorer over hashed features: shapes of words, pairs of shapes, and cells of the
+bounded sample (at most ``max_train`` texts, those with the smallest hash of doc_id and text, equal rows once, and
+at most ``max_pairs`` features) the soft labels train a linear scorer over hashed features: shapes of words, pairs of shapes, and cells of the
 labellers' statistics. Every text is scored; those under ``threshold`` are rejected.
 
 Defined results: a null text, or one without words, has no evidence: all labellers abstain and its score is that
@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_written, written
 from .textvec import LOWER, Chunk, chunks, hash_words, mix, words
 
 BUCKETS = 1 << 14
-MAX_TRAIN = 20_000
+MAX_TRAIN, MAX_PAIRS = 20_000, 12_000_000
 CELLS = 12
 THRESHOLD = 0.1  # a text is rejected on clear evidence only
 #: name, least share for one vote, and for the other: (statistic, good below, bad above) or the reverse where good > bad.
@@ -164,11 +165,13 @@ def labellers(docs: DataFrame) -> dict[str, np.ndarray]:
     return expectation_maximisation(seen.column("pattern").to_numpy(), seen.column("n").to_numpy())
 
 
-def train(docs: DataFrame, em: dict[str, np.ndarray], max_train: int = MAX_TRAIN, passes: int = 60) -> np.ndarray:
-    """Weights of the scorer, the bias last. docs: doc_id, text."""
-    top = 1 << 30
+def sampled(docs: DataFrame, em: dict[str, np.ndarray], max_train: int = MAX_TRAIN, max_pairs: int = MAX_PAIRS) -> pa.Table:
+    """k, q, bucket, weight of the training sample: soft labels and features. Rows and bytes are bounded, whatever ids repeat."""
+    top = 1 << 62
     total = max(1, docs.count())
-    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(top))
+    docs = docs.where(F.length("text") > 0).withColumn("k", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 2))
+    few = docs.where(F.col("k") < F.lit(min(top - 1, top // total * max_train)))
+    last = few.select("k").distinct().orderBy("k").limit(max_train).agg(F.max("k")).first()[0]
     posterior = em["posterior"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +183,21 @@ def train(docs: DataFrame, em: dict[str, np.ndarray], max_train: int = MAX_TRAIN
                 off = pa.array(np.searchsorted(row[by], np.arange(len(c) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(c.rows.start, len(c)), pa.array(posterior[votes(s, x["n"])]), pa.ListArray.from_arrays(off, pa.array(bucket[by].astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(weight[by].astype(np.float32)))], ["k", "q", "bucket", "weight"])
 
-    sample = docs.where((key < min(top, top * max_train // total)) & (F.length("text") > 0)).select(key.alias("k"), "text")
-    got = sample.mapInArrow(run, "k long, q double, bucket array<int>, weight array<float>").toArrow()
-    got = got.take(pa.array(np.lexsort((got.column("q").to_numpy(), got.column("k").to_numpy())))) if got.num_rows else got
+    kind = "k long, q double, bucket array<int>, weight array<float>"
+    if last is None:
+        return docs.sparkSession.createDataFrame([], kind).toArrow()
+    made = written(few.where(F.col("k") <= last).select("k", "text").mapInArrow(run, kind).dropDuplicates(["k"]), "quality-sample")
+    sizes = made.select("k", F.size("bucket").alias("n")).toArrow().sort_by("k")  # narrow rows, ``max_train`` at most
+    fits = np.cumsum(sizes.column("n").to_numpy()) <= max_pairs
+    upto = sizes.column("k").to_numpy()[max(0, int(fits.sum()) - 1)]
+    got = made.where(F.col("k") <= int(upto)).toArrow().sort_by("k")
+    drop_written(made)
+    return got
+
+
+def train(docs: DataFrame, em: dict[str, np.ndarray], max_train: int = MAX_TRAIN, passes: int = 60, max_pairs: int = MAX_PAIRS) -> np.ndarray:
+    """Weights of the scorer, the bias last. docs: doc_id, text."""
+    got = sampled(docs, em, max_train, max_pairs)
     w, sq = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-3)
     if not got.num_rows:
         return w

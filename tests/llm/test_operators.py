@@ -72,6 +72,51 @@ def test_quality_classifier_odd_rows(odd, empty):
     assert quality_model.accepted(odd).columns == odd.columns
 
 
+def brute_quality(t):
+    """The eight statistics of a text, word by word."""
+    t = t or ""
+    w, lines = WORDS.findall(t), [x for x in t.split("\n") if x]
+    low = [lowered(x) for x in w]
+    n, punct = max(1, len(w)), set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    upper, lower = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+    seen = (len(low) - len(set(low))) / n
+    return [
+        sum(c in "#*$%&|<>^~=\\{}[]@_" for c in t) / n, sum(len(x.encode()) > 2 and set(x[-2:]) <= punct for x in w) / n, upper / max(1, upper + lower), sum(x in punct for x in w) / n,
+        sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, seen / min(1.0, 0.5 + n / 2000), (len(lines) - len(set(lines))) / max(1, len(lines)), max(Counter(low).values()) / n if len(w) >= 20 else 0.0,
+    ]
+
+
+def test_quality_statistics_and_votes_equal_brute_force(spark, docs, odd):
+    import numpy as np
+    import pyarrow as pa
+
+    from brookline.llm.textvec import chunks
+
+    texts = [r.text for r in docs.select("text").collect()] + [r.text for r in odd.select("text").collect()]
+    for c in chunks(pa.array(texts)):
+        s, x = quality_model.statistics(c)
+        want = np.array([brute_quality(t) for t in texts[c.rows]])
+        assert np.allclose(s, want)
+        code = quality_model.votes(s, x["n"])
+        for row, n, got in zip(want, x["n"], code, strict=True):
+            digits = [0 if n == 0 else 1 if v <= good else 2 if v >= bad else 0 for v, (_, good, bad) in zip(row, quality_model.LABELLERS, strict=True)]
+            assert got == sum(d * 3**k for k, d in enumerate(digits))
+
+
+def test_quality_sample_is_bounded(spark):
+    """Null and equal ids do not widen the sample, nor do equal rows; long texts do not widen its bytes."""
+    import numpy as np
+
+    em = quality_model.expectation_maximisation(np.zeros(0, int), np.zeros(0, int))
+    rows = [(None, f"text number {i} of many") for i in range(3000)] + [(7, f"other text {i}") for i in range(3000)] + [(8, "the same")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality_model.sampled(df, em, max_train=100)
+    assert 50 <= got.num_rows <= 100
+    few = quality_model.sampled(df, em, max_train=100, max_pairs=300)
+    assert 0 < sum(map(len, few.column("bucket").to_pylist())) <= 300
+    assert few.to_pylist() == got.slice(0, few.num_rows).to_pylist() and quality_model.sampled(df.limit(0), em).num_rows == 0
+
+
 def test_em_recovers_accuracies():
     import numpy as np
 
@@ -463,6 +508,17 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.query(odd, labels.limit(0)).count() == odd.count() and toxicity.query(empty, labels).count() == 0
 
 
+def test_toxicity_sample_is_bounded(spark):
+    """Repeated ids, both labels and long texts: rows and bytes stay bounded, the sample is the same each time."""
+    long_ = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(500)] + [(2, long_), (3, "mild"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = [sorted((r.doc_id, r.text, r.y) for r in toxicity.sampled(d, x, max_train=20)[0].collect()) for d, x in ((docs, labels), (docs.repartition(5), labels.repartition(3)))]
+    assert got[0] == got[1] and len([r for r in got[0] if r[2] == 0]) <= 20
+    (piece,) = [r[1] for r in got[0] if r[2] == 1]
+    assert len(piece) <= toxicity.MAX_CHARS + toxicity.PIECES and piece.startswith("w0 ") and piece.endswith("w199999")
+
+
 def test_network_gradients():
     import numpy as np
     import pyarrow as pa
