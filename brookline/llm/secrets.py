@@ -21,6 +21,7 @@ results; an empty table gives no rows; other columns are ignored, whatever their
 from __future__ import annotations
 
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -214,23 +215,48 @@ def java_regex(rule: Rule) -> str:
     return rule.regex.replace("((?i)password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))")
 
 
+def _search(rule: Rule) -> tuple[str, int]:
+    """The regex to look for, and the characters that a match of it still has to be checked for.
+
+    A run of one class, alone or after fixed letters of that class, is as long as it can be wherever it begins, so its
+    least length may stand in the regex and short runs make no match at all.
+    """
+    if rule.group == 0 and rule.least and rule.regex.endswith("]+"):
+        head = rule.regex[: rule.regex.index("[")]
+        return f"{rule.regex[:-1]}{{{max(1, rule.least - len(head))},}}", 0
+    return java_regex(rule), rule.least
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, as a lambda's argument is."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _scanned(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of an array. Each round merges every element with the one 2^k before it: n log n steps."""
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda x, i: F.when(i >= back, merge(x, F.get(acc, i - back))).otherwise(x))
+
+    rounds = lambda v: F.when(F.size(v) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return _once(values, lambda v: F.reduce(rounds(v), v, step))
+
+
 def _found(rule: Rule, text: Column) -> Column:
     """Spans of one rule: the gaps between matches and the matches themselves give the positions."""
-    rx = java_regex(rule)
+    rx, least = _search(rule)
     matches = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
     gaps = F.split(text, rx, -1)
-    sizes = F.zip_with(F.transform(gaps, lambda x: F.char_length(x)), F.transform(matches, lambda x: F.char_length(x)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    part = matches if rule.group == 0 or not least else F.regexp_extract_all(text, F.lit(rx), F.lit(rule.group))
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.arrays_zip(matches.alias("m"), part.alias("p")), lambda g, z: F.struct((F.char_length(g) + F.char_length(z["m"])).alias("step"), F.char_length(z["m"]).alias("size"), F.char_length(z["p"]).alias("part")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct((start + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))).alias("out")))
+    def spans(x: Column) -> Column:
+        ends = _scanned(F.transform(x, lambda z: z["step"]), lambda a, b: a + b)
+        both = F.zip_with(ends, x, lambda e, z: F.struct((e - z["size"]).alias("start"), e.alias("end"), z["part"].alias("part")))
+        return F.filter(both, lambda z: z["part"] >= least) if least else both
 
-    spans = F.aggregate(sizes, zero, step)["out"]
-    if rule.least:
-        part = matches if rule.group == 0 else F.regexp_extract_all(text, F.lit(rx), F.lit(rule.group))
-        spans = F.transform(F.filter(F.arrays_zip(spans.alias("s"), part.alias("p")), lambda z: F.char_length(z["p"]) >= rule.least), lambda z: z["s"])
-    return spans
+    return _once(sizes, spans)
 
 
 def _tagged(spans: Column, order: int, kind: str) -> Column:
@@ -254,7 +280,7 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block_docs: int
         if r.kind in indexed:
             wanted = F.coalesce(F.array_contains("__rules", r.kind), F.lit(False))
         else:  # scanned in full; the plain test spares texts without a match the work on positions
-            wanted = F.col("__text").rlike(f"(?:{r.regex[:-1]}){{{r.least},}}" if r.regex.endswith("]+") else java_regex(r))
+            wanted = F.col("__text").rlike(_search(r)[0])
         one = F.when(wanted, _tagged(_found(r, F.col("__text")), order, r.kind))
         parts.append(F.coalesce(one, F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")))
     return d.select("__row", F.array_sort(F.concat(*parts)).alias("__spans")).select("__row.*", F.col("__spans").alias(name))
@@ -264,18 +290,35 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret in text replaced by a placeholder; overlapping spans are one."""
-    d = with_spans(docs, rules, name="__spans")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+BLOCK = 4096
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text with one placeholder for each run of overlapping spans, in time linear in the text but for the running maximum.
+
+    The text is cut into blocks of BLOCK code points first, so that a piece is read from its own blocks only.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        own = F.array_join(F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(own, a - first * BLOCK + 1, b - a)).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.lit("[secret]")).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before, mark).alias("out"))
+    def pieces(blocks: Column, reach: Column) -> Column:
+        # reach: how far the spans up to each one go; a span that starts there or later opens a new mark
+        zipped = F.zip_with(F.transform(spans, lambda s: s["start"]), F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1)), lambda s, r: F.struct(r.alias("a"), s.alias("b")))
+        kept = F.transform(F.filter(zipped, lambda z: z["b"] >= z["a"]), lambda z: piece(blocks, z["a"], z["b"]))
+        return F.concat(kept, F.array(piece(blocks, F.element_at(reach, -1), F.char_length(text))))
 
-    done = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    return d.withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(F.col("text"))).drop("__spans")
+    return _once(blocks, lambda bl: _once(_scanned(F.transform(spans, lambda s: s["end"]), F.greatest), lambda r: F.array_join(pieces(bl, r), "[secret]")))
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with each secret in text replaced by a placeholder; overlapping spans are one."""
+    d = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"), rules, name="spans")
+    done = F.when(F.size("spans") > 0, _redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return d.select("row", done.alias("text")).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -372,6 +372,54 @@ def test_secrets_whole_keys_and_long_urls(spark):
         assert [(s.start, s.end) for s in found] == spans
 
 
+def brute_spans(t):
+    """The spans of all ten rules by Python's matcher, and the text with runs of overlapping ones masked."""
+    found = []
+    for order, r in enumerate(secrets.RULES):
+        rx = re.compile(secrets.java_regex(r), re.A)
+        found += [(m.start(), order, m.end(), r.kind) for m in rx.finditer(t) if len(m[r.group]) >= r.least]
+    found.sort()
+    at, out = 0, []
+    for a, _, b, _ in found:
+        if a >= at:
+            out += [t[at:a], "[secret]"]
+        at = max(at, b)
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in found), "".join(out) + t[at:]
+
+
+def test_secrets_all_rules_equal_brute_force(spark, docs):
+    import random
+
+    rng = random.Random(11)
+    kinds = [
+        lambda: f"{rng.choice(['password', 'API_KEY', 'Token', 'secret', 'apikey'])}{rng.choice(['=', ': ', ' = ', chr(34) + ':' + chr(34)])}{word(rng.randrange(3, 12))}", lambda: "AKIA" + word(rng.randrange(10, 22)).upper(),
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(20, 70))), lambda: "ghp_" + word(rng.randrange(30, 44)), lambda: "xoxb-" + word(rng.randrange(8, 16)), lambda: "AIza" + word(rng.randrange(30, 40)),
+        lambda: "sk_live_" + word(rng.randrange(12, 24)), lambda: f"eyJ{word(12)}.eyJ{word(rng.randrange(6, 12))}.{word(12)}", lambda: "-----BEGIN PRIVATE KEY-----\nQUJD\nQUJE\n-----END PRIVATE KEY-----",
+        lambda: f"https://{word(5)}:{word(8)}@host.example", lambda: "plain text \U0001f600 é", lambda: word(rng.randrange(1, 9)), lambda: "token=secret:password=abcdefgh",
+    ]
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [rng.choice([" ", "", "\n"]).join(rng.choice(kinds)() for _ in range(rng.randrange(0, 40))) for _ in range(300)]
+    texts += [" ".join(kinds[2]() for _ in range(3000)) + " é" * 5000 + kinds[8]() + "x" * 10_000, *[r.text for r in docs.limit(300).collect()]]
+    df = spark.createDataFrame([(i, t, "r", 1) for i, t in enumerate(texts)], "doc_id long, text string, row string, spans int")
+    want = {i: brute_spans(t or "") for i, t in enumerate(texts)}
+    assert {r.doc_id: r.spans for r in secrets.query(df).collect()} == {i: w[0] for i, w in want.items()}
+    clean = secrets.redacted(df)
+    assert clean.columns == df.columns and {r.doc_id: r.text for r in clean.collect()} == {i: w[1] for i, w in want.items()}
+
+
+def test_secrets_long_text_in_time(spark):
+    import time
+
+    text = " ".join(f"dead bee {i % 97} cafe word{i % 1009}" for i in range(200_000)) + " token=abcdef123456 " + "deadbeef" * 4 + " token: abc" * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secrets.query(df.limit(0)).collect()
+    began = time.time()
+    (r,) = secrets.query(df).collect()
+    (c,) = secrets.redacted(df).collect()
+    assert len(text) > 5_000_000 and time.time() - began < 60
+    assert (r.spans, c.text) == brute_spans(text)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia")) and secrets.trigram_query("[0-9a-f]+") is None
     assert secrets.trigram_query("(?:abcd|xyz)[0-9]?") == ("or", (("and", ("abc", "bcd")), "xyz"))
