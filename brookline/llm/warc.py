@@ -1,7 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Writing. Records are put in order of page_id and cut into shards of about ``shard_bytes`` by a histogram
-of page_id, so shards do not depend on partitions or executors. Each shard is written by one
+Writing. Records are put in order of (page_id, digest) and cut into shards of about ``shard_bytes`` by the exact
+running sum of their sizes, which is taken over narrow rows, range by range; so shards depend neither on partitions nor
+executors, and any spread of 64-bit ids gives even ones. There are at most ``MOST`` shards (they grow beyond
+that), so that their first keys may be sent to all tasks, where a binary search finds each record's
+shard and payloads are shuffled once. Rows that share page_id and payload and outgrow a shard are split over several
+by url, and rows equal in all three travel as one with their number. Each shard is written by one
 task as a stream of gzip members (a record each), rolled to a new file once ``roll_bytes`` compressed
 bytes are reached. Headers and digests are made anew from the payload. A file is written under a
 temporary name that carries the task attempt and renamed when complete; the manifest, a Parquet
@@ -28,20 +32,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, written
 
 SHARD_BYTES, ROLL_BYTES, LEAST_DUP = 64 << 20, 32 << 20, 100
-CELLS = 1 << 14
+MOST, MOST_TASKS = 1 << 18, 1 << 16
+OVERHEAD = 512  # of a record, beside its payload
 EPOCH = "1970-01-01T00:00:00Z"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id: int | None, order: int, digest: str) -> str:
+def record_id(page_id: int | None, order: int | str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id}/{order}/{digest}')}>"
 
 
@@ -88,10 +94,48 @@ class _Shard:
             self.out, self.seq = None, self.seq + 1
 
 
-def _cell(low: int, high: int) -> Column:
-    """page_id's cell of CELLS equal ones between low and high; null ids come before all."""
-    wide = max(1, -(-(high - low + 1) // CELLS))
-    return F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(wide)), F.lit(-1)).cast("long")
+class Cuts:
+    """The first (page_id, digest) of each shard in order, null ids before all; and the keys that fill shards alone."""
+
+    def __init__(self, rows: list[tuple[int | None, str, int]], heavy: dict[tuple[int | None, str], tuple[int, str]]) -> None:
+        none, some = [r for r in rows if r[0] is None], [r for r in rows if r[0] is not None]
+        self.none = np.array([r[1] for r in none], "S64")
+        self.page, self.digest = np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], "S64")
+        self.shard = np.array([r[2] for r in [*none, *some]], np.int32)
+        self.heavy = heavy
+
+    def find(self, page: pa.Array, digest: pa.Array) -> np.ndarray:
+        """The shard of each key: that of the last cut at or before it."""
+        null, d = page.is_null().to_numpy(zero_copy_only=False), np.array(digest.to_pylist(), "S64")
+        x = page.fill_null(0).to_numpy()
+        lo, hi = np.searchsorted(self.page, x, "left"), np.searchsorted(self.page, x, "right")
+        at = lo
+        for v in np.unique(x[(lo < hi) & ~null]):  # pages at which one or more shards begin
+            mine = np.flatnonzero((x == v) & ~null)
+            first, last = lo[mine[0]], hi[mine[0]]
+            at[mine] = first + np.searchsorted(self.digest[first:last], d[mine], "right")
+        at = np.where(null, np.searchsorted(self.none, d, "right"), at + len(self.none)) - 1
+        return self.shard[np.maximum(at, 0)] if len(self.shard) else np.zeros(len(x), np.int32)
+
+
+def _placed(p: DataFrame, shard_bytes: int) -> tuple[DataFrame, Cuts, int]:
+    """p: page_id, digest, bytes. A narrow table of the distinct keys, where shards are cut, and the number of shards."""
+    line = [F.col("page_id").asc_nulls_first(), F.col("digest")]
+    keys = p.groupBy("page_id", "digest").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"), F.min("url").alias("url"))
+    keys = keys.withColumn("held", F.col("n") * (F.col("bytes") + OVERHEAD))
+    keys = written(keys.repartitionByRange(*line).withColumn("part", F.spark_partition_id()), "warc-keys")
+    total = keys.agg(F.sum("held")).first()[0] or 0
+    size = max(shard_bytes, -(-total // MOST))
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    ahead = keys.groupBy(F.col("part").alias("of")).agg(F.sum("held").alias("sum")).select("of", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("ahead"))
+    here = Window.partitionBy("part").orderBy(*line).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("ahead") + F.coalesce(F.sum("held").over(here), F.lit(0))
+    placed = keys.join(ahead, F.col("part") == F.col("of")).withColumn("from", F.floor(at / size).cast("int")).withColumn("to", F.floor((at + F.col("held")) / size).cast("int"))
+    key = F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "digest")
+    cuts = placed.groupBy("from").agg(F.min(key).alias("k")).select("k.page_id", "k.digest", "from").collect()  # MOST rows at most
+    heavy = placed.where(F.col("held") > size).select("page_id", "digest", "from", "to", "url").collect()
+    found = Cuts(sorted((tuple(r) for r in cuts), key=lambda r: r[2]), {(r[0], r[1]): (max(1, r["to"] - r["from"]), r["url"]) for r in heavy})
+    return keys.select("page_id", "digest", "n", "bytes"), found, len(cuts) + sum(m for m, _ in found.heavy.values())
 
 
 def write(pages: DataFrame, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_dup: int = LEAST_DUP) -> str:
@@ -102,33 +146,43 @@ def write(pages: DataFrame, shard_bytes: int = SHARD_BYTES, roll_bytes: int = RO
     store.create_dir(f"{at}/_temporary", recursive=True)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html").cast("long"))
-
-    # shards from sizes by cell of page_id; the table has CELLS + 1 rows at most, so it may be broadcast
-    low, high = p.agg(F.min("page_id"), F.max("page_id")).first()
-    cell = _cell(low or 0, high or 0)
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    cells = p.groupBy(cell.alias("at")).agg(F.sum("bytes").alias("held")).withColumn("shard", F.floor(F.coalesce(F.sum("held").over(before), F.lit(0)) / shard_bytes).cast("int"))
-    cells = written(cells.select("at", "shard"), "warc-cells")
-    shards = cells.agg(F.countDistinct("shard")).first()[0]
+    keys, cuts, shards = _placed(p.select("page_id", "digest", "bytes", "url"), shard_bytes)
+    sent = spark.sparkContext.broadcast(cuts)
 
     # which records revisit another: only ids and digests are shuffled for it, the payloads once
-    narrow = p.where(F.col("bytes") >= least_dup).select("page_id", "digest")
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select(F.col("digest").alias("d"), "refers_to")
-    marks = narrow.join(first, (F.col("digest") == F.col("d")) & (F.coalesce("page_id", F.lit(-(1 << 63))) != F.col("refers_to")))
-    marks = marks.select("page_id", "digest", "refers_to").distinct()
-    rows = p.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    rows = rows.unionByName(marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("html"), "refers_to"))
-    rows = rows.withColumn("cell", cell).join(F.broadcast(cells), F.col("cell") == F.col("at")).drop("cell", "at")
-    rows = rows.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    large = keys.where(F.col("bytes") >= least_dup)
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select(F.col("digest").alias("d"), "refers_to")
+    marks = large.join(first, (F.col("digest") == F.col("d")) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
+
+    def place(page: pa.Array, digest: pa.Array) -> pa.Array:
+        c = sent.value
+        alone = [c.heavy.get(k, (0, ""))[0] for k in zip(page.to_pylist(), digest.to_pylist(), strict=True)] if c.heavy else [0] * len(page)
+        return pa.StructArray.from_arrays([pa.array(c.find(page, digest)), pa.array(alone, pa.int32())], ["shard", "many"])
+
+    place.__annotations__ = {"page": pa.Array, "digest": pa.Array, "return": pa.Array}
+    placed = F.arrow_udf(place, "shard int, many int")("page_id", "digest")
+    rows = p.select("page_id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"), placed.alias("at"))
+    light = rows.where("at.many = 0").select("at.shard", "page_id", "digest", "kind", "url", "html", "refers_to", F.lit(1).cast("long").alias("n"), F.lit(-1).cast("long").alias("ordinal"))
+    noted = marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("html"), "refers_to", placed.alias("at")).where("at.many = 0")
+    all_ = light.unionByName(noted.select("at.shard", "page_id", "digest", "kind", "url", "html", "refers_to", F.lit(1).cast("long").alias("n"), F.lit(-1).cast("long").alias("ordinal")))
+    if cuts.heavy:
+        per = max(1, shard_bytes // OVERHEAD)
+        same = rows.where("at.many > 0").groupBy("page_id", "digest", "url", "at").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+        same = same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / per))).alias("piece"))
+        shard = F.col("at.shard") + F.pmod(F.xxhash64("url", "piece"), F.col("at.many")).cast("int")
+        m = marks.select(F.col("page_id").alias("mp"), F.col("digest").alias("md"), "refers_to")
+        same = same.join(m, F.col("page_id").eqNullSafe(F.col("mp")) & (F.col("digest") == F.col("md")), "left")
+        all_ = all_.unionByName(same.select(shard.alias("shard"), "page_id", "digest", F.lit(1).alias("kind"), "url", "html", "refers_to", F.least(F.lit(per), F.col("n") - F.col("piece") * per).cast("long").alias("n"), (F.col("piece") * per).alias("ordinal")))
+    rows = all_.repartitionByRange(min(MOST_TASKS, max(1, shards)), "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url", "ordinal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = fs.FileSystem.from_uri(root)
         open_, mark, last, done = None, None, None, []
         for b in batches:
             names = b.schema.names
-            cols = [b.column(names.index(x)) for x in ("shard", "page_id", "digest", "kind", "url", "html", "refers_to")]
+            cols = [b.column(names.index(x)) for x in ("shard", "page_id", "digest", "kind", "url", "html", "refers_to", "n", "ordinal")]
             for k in range(b.num_rows):
-                shard, page, digest, kind, url, html, ref = (c[k].as_py() for c in cols)
+                shard, page, digest, kind, url, html, ref, n, ordinal = (c[k].as_py() for c in cols)
                 if kind == 0:
                     mark = (page, digest, ref)
                     continue
@@ -138,21 +192,23 @@ def write(pages: DataFrame, shard_bytes: int = SHARD_BYTES, roll_bytes: int = RO
                         done += open_.done
                     open_ = _Shard(store, at, shard, roll_bytes)
                 body = html.encode()
-                order = last[2] + 1 if last is not None and last[:2] == (page, digest) else 0
-                last = (page, digest, order)
-                target = ref = None
-                if mark is not None and mark[:2] == (page, digest):
+                if ref is None and mark is not None and mark[:2] == (page, digest):
                     ref = mark[2]
-                elif order and len(body) >= least_dup:
-                    ref = page
-                if (mark is not None and mark[:2] == (page, digest)) or (order and len(body) >= least_dup):
-                    target = record_id(ref, 0, digest)
-                fields = {
-                    "WARC-Type": "response" if target is None else "revisit", "WARC-Record-ID": record_id(page, order, digest), "WARC-Date": EPOCH, "WARC-Target-URI": "".join(x for x in url if x >= " "),
-                    "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Page-ID": page, "WARC-Payload-Length": len(body),
-                    "WARC-Profile": None if target is None else "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": target, "WARC-Refers-To-Page-ID": ref, "Content-Type": "text/html; charset=utf-8",
-                }
-                open_.add(gzipped(header(fields, body if target is None else b"")))
+                for i in range(n):
+                    if ordinal < 0:
+                        order = last[2] + 1 if last is not None and last[:2] == (page, digest) else 0
+                        last = (page, digest, order)
+                    else:  # one of many equal keys: the first is the one with the least url
+                        order = ordinal + i
+                        order = f"{url}/{order}" if order or url != sent.value.heavy[page, digest][1] else 0
+                    again = ref is not None or (order != 0 and len(body) >= least_dup)
+                    to = ref if ref is not None else page
+                    fields = {
+                        "WARC-Type": "revisit" if again else "response", "WARC-Record-ID": record_id(page, order, digest), "WARC-Date": EPOCH, "WARC-Target-URI": "".join(x for x in url if x >= " "),
+                        "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Page-ID": page, "WARC-Payload-Length": len(body), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if again else None,
+                        "WARC-Refers-To": record_id(to, 0, digest) if again else None, "WARC-Refers-To-Page-ID": to if again else None, "Content-Type": "text/html; charset=utf-8",
+                    }
+                    open_.add(gzipped(header(fields, b"" if again else body)))
         if open_ is not None:
             open_.close()
             done += open_.done

@@ -227,6 +227,39 @@ def test_warc_round_trip(spark):
     assert {(r.file, r.sha256) for r in files} == {(r.file, r.sha256) for r in spark.read.parquet(f"{again}/manifest").collect()}
 
 
+def test_warc_any_ids_give_even_shards(spark):
+    """Ids at both ends of 64 bits, one outlier, no ids at all, one id and one page for all: many shards, whole results."""
+    html = lambda i: f"page {i} " * 40
+    tables = {
+        "wide": [(i, "u", html(i)) for i in (-(1 << 63), -9 * 10**18, -1, 0, 9 * 10**18, (1 << 63) - 1)], "outlier": [(i, "u", html(i)) for i in range(60)] + [(1 << 60, "u", html(-1))],
+        "null": [(None, "u", html(i)) for i in range(60)], "one id": [(7, f"u{i}", html(i % 50)) for i in range(100)],
+        "one page": [(7, f"u{i % 30}", html(0)) for i in range(300)] + [(3, "v", html(0)), (8, "v", html(1))], "one row": [(7, "u", html(0))] * 300, "small": [(7, f"u{i}", "x") for i in range(300)],
+    }
+    for name, rows in tables.items():
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        root = warc.write(pages, shard_bytes=4000, roll_bytes=1500)
+        got = warc.read(spark, root).collect()
+        body = [h.encode() for _, _, h in rows]
+        assert Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest) for r in got) == Counter((i, u, len(b), hashlib.sha256(b).hexdigest()) for (i, u, _), b in zip(rows, body, strict=True)), name
+        by = defaultdict(list)
+        for r in got:
+            by[r.payload_digest].append(r)
+        for d, x in by.items():
+            ids = [r.page_id for r in x if r.page_id is not None]
+            if x[0].payload_bytes >= 100:
+                (lead,) = [r for r in x if r.record_type == "response"]
+                assert lead.page_id == min(ids, default=None) and all(r.refers_to == lead.page_id for r in x if r is not lead), name
+            else:
+                assert all(r.record_type == "response" for r in x), name
+        files = spark.read.parquet(f"{root}/manifest").collect()
+        held = Counter()
+        for r in files:
+            held[r.shard] += r.records
+        assert len(held) >= (1 if name == "wide" else 4) and max(held.values()) <= (len(rows) if name == "wide" else 0.6 * len(rows)), (name, held)
+        again = warc.write(pages.repartition(3), shard_bytes=4000, roll_bytes=1500)
+        assert {(r.file, r.sha256) for r in files} == {(r.file, r.sha256) for r in spark.read.parquet(f"{again}/manifest").collect()}, name
+
+
 def test_warc_empty(spark):
     assert warc.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
