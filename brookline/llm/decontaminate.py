@@ -1,16 +1,18 @@
 """Benchmark decontamination by template windows.
 
-Texts are made canonical: case and punctuation go, and numbers, names (capitalised words inside a
-sentence) and units become typed placeholders. A run of one type is one placeholder, so a value may
+Texts are made canonical: case and punctuation go, and numbers, names (capitalised words, of any script with
+capitals) and units after a number become typed placeholders. A run of one type is one placeholder, so a value may
 have any number of words. Windows of ``width`` canonical words of each text are hash-joined with those
-of the benchmark items (an item shorter than that is one window). Each text has four kinds of windows:
+of the benchmark items (an item shorter than that is one window). Whether a capitalised word that opens a sentence is
+a name can't be told from the text, so both readings are kept. Each text has six kinds of windows:
 
-* ``TEMPLATE``: as above;
+* ``TEMPLATE``: capitalised words inside a sentence are names;
+* ``OPENED``: those that open a sentence are names too;
 * ``FOLDED``: names are plain words, so a copy in other case is found although its names can't be told;
 * ``EXACT``: every word is plain, for items made of values and for verbatim passages;
-* ``SHORT``: template words without joining runs, for items of at most ``width`` words.
+* ``SHORT``, ``SHORT_OPENED``: template words without joining runs, for items of at most ``width`` words.
 
-Template and folded windows count where they hold ``least_words`` plain words. The windows of one kind,
+Template, opened and folded windows count where they hold ``least_words`` plain words, short ones where they hold one. The windows of one kind,
 text and item are joined over all diagonals (shifts) in ascending order of both, where staying on a
 diagonal is preferred. They are a match where they are ``coverage`` of the item's windows, or cover
 ``covered`` of the words that its windows hold (inserted words split windows, not words), or are a verbatim
@@ -47,7 +49,7 @@ UNITS = (
     "percent dollar dollars cent cents euro euros degree degrees watt watts volt volts mph kmh meter meters metre metres"
 ).split()
 NUMBER, NAME, UNIT = np.uint64(101), np.uint64(102), np.uint64(103)
-TEMPLATE, FOLDED, EXACT, SHORT = range(4)
+TEMPLATE, FOLDED, EXACT, SHORT, OPENED, SHORT_OPENED = range(6)
 
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -57,31 +59,65 @@ _UPPER[0x41:0x5B] = True
 _STOP[[ord(x) for x in ".!?:\n"]] = True
 
 
+@functools.cache
+def _cases() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For code points below 2^16: the lower-case one (itself if it has none of as many bytes), whether it is a capital, a small or caseless letter."""
+    low, upper, small = np.arange(1 << 16), np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    for c in range(0x80, 1 << 16):
+        x = chr(c)
+        if x.isalpha():
+            y = x.lower()
+            upper[c], small[c] = x.isupper() or x.istitle(), not (x.isupper() or x.istitle())
+            if len(y) == 1 and 0x80 <= ord(y) < 1 << 16 and (c < 0x800) == (ord(y) < 0x800):
+                low[c] = ord(y)
+    return low, upper, small
+
+
+def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes of UTF-8 text, and where capitals and other letters begin."""
+    out, upper, small = LOWER[data], _UPPER[data], (data >= 0x61) & (data <= 0x7A)
+    if (data >= 0x80).any():
+        low, is_upper, is_small = _cases()
+        two, three = np.flatnonzero((data & 0xE0) == 0xC0), np.flatnonzero((data & 0xF0) == 0xE0)
+        byte = lambda at: data[at].astype(np.int64)
+        point = (((byte(two) & 0x1F) << 6) | (byte(two + 1) & 0x3F), ((byte(three) & 0x0F) << 12) | ((byte(three + 1) & 0x3F) << 6) | (byte(three + 2) & 0x3F))
+        for at, cp in zip((two, three), point, strict=True):
+            upper[at], small[at] = is_upper[cp], is_small[cp]
+            to = low[cp]
+            at, to = at[to != cp], to[to != cp]
+            if at.size and to.max() < 0x800:
+                out[at], out[at + 1] = 0xC0 | (to >> 6), 0x80 | (to & 0x3F)
+            elif at.size:
+                out[at], out[at + 1], out[at + 2] = 0xE0 | (to >> 12), 0x80 | ((to >> 6) & 0x3F), 0x80 | (to & 0x3F)
+        small |= (data & 0xF8) == 0xF0
+    return out, upper, small
+
+
 def canonical(c: Chunk) -> dict[str, np.ndarray]:
-    """Words of a chunk: template hash, value hash, row, and whether a placeholder, a name stand there."""
+    """Words of a chunk with letters or digits: value hash, row, and whether a number, a unit, a capitalised word, the opening of a sentence stand there."""
     w = words(c)
     data = c.data
-    low = LOWER[data]
-    latin = np.zeros(len(data), bool)  # upper-case letters of the Latin-1 block in UTF-8
-    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    low = np.where(latin, low + 0x20, low).astype(np.uint8)
+    low, upper, small = _folded(data)
     value = hash_words(low, w, _KEEP[data])
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     kept = np.concatenate([[0], np.cumsum(_KEEP[data])])
     number = (digits[w.end] - digits[w.start] > 0) & (2 * (digits[w.end] - digits[w.start]) >= kept[w.end] - kept[w.start])
-    has = kept[w.end] > kept[w.start]
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     opens = np.ones(len(w), bool)  # first of its row, or a stop since the last word's start
     opens[1:] = (w.row[1:] != w.row[:-1]) | (stops[w.start[1:]] > stops[w.start[:-1]])
-    upper = _UPPER[data[w.start]] if len(w) else np.zeros(0, bool)
-    if len(w):
-        upper |= (data[w.start] == 0xC3) & latin[np.minimum(w.start + 1, len(data) - 1)]
-    lower = np.concatenate([[0], np.cumsum(_KEEP[data] & ~_DIGIT[data] & ~_UPPER[data] & ~latin & (data != 0xC3))])
-    name = upper & ~opens & ~number & (lower[w.end] > lower[w.start])
-    unit = ~number & np.isin(value, _units())
-    template = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, value)))
-    keep = has
-    return {"template": template[keep], "value": value[keep], "row": w.row[keep], "slot": (number | name | unit)[keep], "name": name[keep]}
+    smalls = np.concatenate([[0], np.cumsum(small)])
+    capital = (upper[w.start] if len(w) else np.zeros(0, bool)) & ~number & (smalls[w.end] > smalls[w.start])
+    has = kept[w.end] > kept[w.start]
+    x = {"value": value[has], "row": w.row[has], "number": number[has], "capital": capital[has], "opens": opens[has]}
+    after = np.zeros(len(x["row"]), bool)
+    after[1:] = x["number"][:-1] & (x["row"][1:] == x["row"][:-1])
+    return {**x, "unit": after & ~x["number"] & np.isin(x["value"], _units())}
+
+
+def _typed(x: dict[str, np.ndarray], name: np.ndarray) -> dict[str, np.ndarray]:
+    """Template words: placeholders for numbers, units and these names."""
+    template = np.where(x["number"], NUMBER, np.where(name, NAME, np.where(x["unit"], UNIT, x["value"])))
+    return {"template": template, "value": x["value"], "row": x["row"], "slot": x["number"] | name | x["unit"]}
 
 
 @functools.cache
@@ -105,11 +141,11 @@ def _joined(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def kinds(c: Chunk) -> tuple[dict[str, np.ndarray], ...]:
-    """The words of a chunk in the four kinds."""
+    """The words of a chunk in the six kinds."""
     x = canonical(c)
-    folded = {**x, "template": np.where(x["name"], x["value"], x["template"]), "slot": x["slot"] & ~x["name"]}
-    exact = {**x, "template": x["value"], "slot": np.zeros(len(x["row"]), bool)}
-    return _joined(x), _joined(folded), exact, x
+    inside, opened, folded = (_typed(x, name) for name in (x["capital"] & ~x["opens"], x["capital"], np.zeros(len(x["row"]), bool)))
+    exact = {**folded, "template": x["value"], "slot": np.zeros(len(x["row"]), bool)}
+    return _joined(inside), _joined(folded), exact, inside, _joined(opened), opened
 
 
 def _template_windows(x: dict[str, np.ndarray], kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +181,8 @@ def item_windows(items: DataFrame, width: int = WIDTH, least_words: int = 4) ->
                     for n in range(1, width + 1):
                         h, at = _template_windows(x, kind, n)
                         words_in = count[x["row"][at]]
-                        if kind == SHORT:
-                            ok = words_in == n
+                        if kind in (SHORT, SHORT_OPENED):
+                            ok = (words_in == n) & (plain[at + n] > plain[at])
                         else:
                             ok = (np.minimum(words_in, width) == n) & ((plain[at + n] - plain[at] >= least_words) | (kind == EXACT))
                         yield _emit(b, c, x, h[ok], at[ok], kind, n, first)
@@ -248,7 +284,7 @@ def judged(hits: list[tuple], kind: int, n: int, n_windows: int, n_words: int, c
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float = 0.5, consistent: float = 0.9, least_words: int = 4, bits: int = BITS, covered: float = 0.8, verbatim: int = 13) -> DataFrame:
     """doc_id, text_hash, item_id, coverage, slots_agreeing: texts that hold an item or a variant of it."""
     item_win = written(item_windows(items, width, least_words), "decontaminate-items")
-    sorts = sorted((r[0], r[1]) for r in item_win.select("kind", "n").distinct().collect())  # at most 4 x ``width``
+    sorts = sorted((r[0], r[1]) for r in item_win.select("kind", "n").distinct().collect())  # at most 6 x ``width``
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(item_win, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,15 +328,12 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: flo
     return cover.groupBy("doc_id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage"), F.max("agreeing").alias("slots_agreeing"))
 
 
-def _with_matches(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    per = found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), *[c for c in found.columns if c not in ("doc_id", "text_hash", "item_id")])
-    return docs.join(per, docs["doc_id"].eqNullSafe(per["__doc"]) & (F.xxhash64(docs["text"]) == per["__hash"]), how)
-
-
 def clean(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
     """The documents that hold no benchmark item."""
-    found = matches(docs, items, **options).select("doc_id", "text_hash").distinct()
-    return _with_matches(docs, found, "left_anti")
+    found = matches(docs, items, **options).select(F.col("doc_id").alias("d"), "text_hash").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("text_hash")), "left_anti")
+    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -309,4 +342,4 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
     narrow = docs.select("doc_id", F.xxhash64("text").alias("h"))
     per = per.withColumnRenamed("doc_id", "d")
     out = narrow.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")), "left")
-    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast(per.schema["item_ids"].dataType)).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

@@ -562,6 +562,122 @@ def test_decontamination_case_lengths_passages(spark):
     assert got == {i: want for i, _, want in rows}
 
 
+def test_decontamination_names_anywhere(spark):
+    """Names that open a sentence, names in other scripts, units only after numbers, ids of any type, columns that clash."""
+    apples = "Alice has 12 apples and some pears. Bob takes 5 apples. How many does Alice keep?"
+    russian = "У нас сегодня Анна купила 12 яблок и отдала 5 яблок маме, сколько яблок у неё осталось?"
+    day = "On a sunny day in the park each second child ran round the old pond with a red ball"
+    items = spark.createDataFrame([("a", apples), ("m", "Maria walked 12 miles."), ("r", russian), ("d", day)], "item_id string, text string")
+    filler = "and so the long story went on and on without any end that people could see. "
+    rows = [
+        (1, filler + apples.replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "90").replace("5", "7"), ["a"]), (2, filler + "Helen walked 40 miles.", ["m"]),
+        (3, filler + russian.replace("Анна", "Ольга").replace("12", "30"), ["r"]), (4, filler + russian.upper(), ["r"]), (5, filler + day.upper(), ["d"]), (6, filler * 3, []),
+        (7, filler + "Carol has 90 apples and some pears. Dave takes 7 apples. How many does Emma keep?", []), (8, filler + day.replace("second", "minute").replace("day", "week").replace("pond", "well").replace("child", "dog").replace("ran", "ate"), []),
+        (9, "Helen walked away. Helen ran 40 miles", []),
+    ]
+    docs = spark.createDataFrame([(*r[:2], "x", "y", "z", "w") for r in rows], "doc_id long, text string, __doc string, __hash string, text_hash string, d string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.query(docs, items).collect()}
+    assert got == {i: want for i, _, want in rows}
+    left = decontaminate.clean(docs, items)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [6, 7, 8, 9]
+
+
+def brute_kinds(t):
+    """(template, value, slot) lists of the six kinds, character by character."""
+    units, out = set(decontaminate.UNITS), []
+
+    def small(c):
+        y = c.lower()
+        if c.isascii():
+            return y
+        return y if ord(c) < 1 << 16 and c.isalpha() and len(y) == 1 and not y.isascii() and len(y.encode()) == len(c.encode()) else c
+
+    last = None
+    for m in WORDS.finditer(t or ""):
+        w = m[0]
+        opens = last is None or any(c in ".!?:\n" for c in t[last : m.start()])
+        last = m.start()
+        kept = [c for c in w if c.isascii() and c.isalnum() or not c.isascii()]
+        if kept:
+            digits = sum(c in "0123456789" for c in kept)
+            number = digits > 0 and 2 * digits >= len("".join(kept).encode())
+            cased = w[0].isupper() or w[0].istitle()
+            capital = not number and cased and any(c.isalpha() and not (c.isupper() or c.istitle()) for c in w)
+            value = "".join(small(c) for c in kept)
+            out.append((value, number, capital, opens, value in units and bool(out) and out[-1][1] and not number))
+
+    def typed(is_name):
+        return [("#" if number else "@" if is_name(capital, opens) else "~" if unit else value, value, number or is_name(capital, opens) or unit) for value, number, capital, opens, unit in out]
+
+    def joined(x):
+        runs = []
+        for t_, v, slot in x:
+            if slot and runs and runs[-1][2] and runs[-1][0] == t_:
+                runs[-1] = (t_, v if t_ == "@" else f"{runs[-1][1]} {v}", True)
+            else:
+                runs.append((t_, v, slot))
+        return runs
+
+    inside, opened, folded = typed(lambda c, o: c and not o), typed(lambda c, o: c), typed(lambda c, o: False)
+    return joined(inside), joined(folded), [(v, v, False) for _, v, _ in folded], inside, joined(opened), opened
+
+
+def brute_matches(docs, items, width=8):
+    found = defaultdict(set)
+    of = {i: brute_kinds(t) for i, t in items}
+    windows = defaultdict(list)
+    for i, parts in of.items():
+        for kind, x in enumerate(parts):
+            n = min(len(x), width)
+            if n == 0 or (kind in (3, 5) and len(x) > width):
+                continue
+            for at in range(len(x) - n + 1):
+                w = x[at : at + n]
+                plain = sum(not s for _, _, s in w)
+                if kind == 2 or plain >= (1 if kind in (3, 5) else 4):
+                    windows[kind, n, tuple(t for t, _, _ in w)].append((i, at, w))
+    size = {}
+    for (kind, n, _), x in windows.items():
+        for i, at, _ in x:
+            size.setdefault((i, kind, n), set()).add(at)
+    for d, t in docs:
+        hits = defaultdict(list)
+        for kind, x in enumerate(brute_kinds(t)):
+            for n in {n for k, n, _ in windows if k == kind}:
+                for at in range(len(x) - n + 1):
+                    for i, item_at, w in windows.get((kind, n, tuple(y[0] for y in x[at : at + n])), ()):
+                        hits[i, kind, n].append((at, item_at, [(a[1], b[1]) for a, b in zip(w, x[at : at + n], strict=True) if a[2] and kind != 2]))
+        for (i, kind, n), h in hits.items():
+            places = size[i, kind, n]
+            covered = len({p + k for p in places for k in range(n)})
+            if decontaminate.judged(h, kind, n, len(places), covered, 0.5, 0.8, 0.9, 13):
+                found[d].add(i)
+    return found
+
+
+def test_decontamination_equals_brute_force(spark, docs):
+    """The benchmark and items of numbers and names, planted verbatim and re-parameterised, among all documents; recall of the variants."""
+    import random
+
+    rng = random.Random(9)
+    names, nouns = ["Alice", "Bob", "Carol", "Dave", "Emma", "Zoë", "Ольга", "Ägidius"], ["apples", "pears", "books", "coins", "stones"]
+    asked = ["{a} has {x} {n}. {b} takes {y} {n}. How many {n} does {a} keep?", "A train that {a} took ran {x} miles in {y} hours; how far does it run in a day?", "When {a} met {b}, they bought {x} {n} for {y} dollars and shared them out evenly."]
+    fill = lambda q, n, a, b: q.format(a=a, b=b, n=n, x=rng.randrange(2, 99), y=rng.randrange(2, 99))
+    picked = [(k, q, n, *rng.sample(names, 2)) for k, (q, n) in enumerate([(q, n) for q in asked for n in nouns])]
+    items = [(1000 + k, fill(q, n, a, b)) for k, q, n, a, b in picked] + [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    variants = {}
+    for k, q, n, _, _ in picked * 4:
+        d = 100_000 + len(variants)
+        variants[d] = 1000 + k
+        a, b = rng.sample(names, 2)
+        rows.append((d, f"{(rng.choice(rows)[1] or '')[:200]}. {fill(q, n, a, b)} {(rng.choice(rows)[1] or '')[:200]}"))
+    got = {r.doc_id: set(r.item_ids) for r in decontaminate.query(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_matches(rows, items)
+    assert {d: x for d, x in got.items() if x} == dict(want)
+    assert sum(i in got[d] for d, i in variants.items()) >= 0.9 * len(variants)
+
+
 def test_decontamination_chain():
     hits = [(10, 0, [(1, 5)]), (11, 1, []), (12, 9, []), (15, 2, []), (16, 3, [(1, 6)])]
     assert decontaminate._chain(hits) == [0, 1, 3, 4]
