@@ -38,6 +38,24 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: A table that is joined by key is sent to all tasks if it has so many rows at most.
+FEW = 1 << 15
+
+
+def beside(rows: DataFrame, small: DataFrame, key: list[str], few: bool | None = None, spread: int = 32) -> DataFrame:
+    """rows with the columns of ``small``, which has one row a key (inner join).
+
+    A small table of at most FEW rows (counted, unless ``few`` says so) is sent to all tasks. Otherwise no key meets in
+    one task: each row goes with one of ``spread`` salts and the small table with all of them.
+    """
+    if few is None:
+        few = small.limit(FEW + 1).count() <= FEW
+    if few:
+        return rows.join(F.broadcast(small), key)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int"))
+    return salted.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))), [*key, "__salt"]).drop("__salt")
+
+
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; a null doc_id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

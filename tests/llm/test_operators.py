@@ -771,27 +771,102 @@ def test_quality_rules_equal_brute_force(spark, docs, odd, empty):
     assert quality_rules.query(empty).count() == 0
 
 
-def test_mcd_equals_numpy(spark):
-    """Concentration steps on one group against the same steps in numpy; planted outliers are rejected."""
+def numpy_mcd(x):
+    """Mean and covariance of one group: nine starts, concentration to the least determinant, reweighting. Also the least log determinant."""
+    import numpy as np
+
+    floor = np.diag(np.array(quality_rules.FLOORS) ** 2)
+    n, cells = len(x), lambda d: np.minimum(np.floor(np.log1p(d) * 50), 2500)
+    dist = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + floor), x - m)
+    det = lambda c: np.linalg.slogdet(c + floor)[1]
+
+    def step(m, c):
+        cell = cells(dist(m, c))
+        near = x[cell <= np.sort(cell)[int(np.ceil(0.5 * n)) - 1]]
+        return near.mean(0), near.T @ near / len(near) - np.outer(near.mean(0), near.mean(0))
+
+    q = np.stack([np.sort(x, 0)[max(0, int(np.ceil(p * n)) - 1)] for p in (0.25, 0.5, 0.75)])
+    c0 = np.diag(((q[2] - q[0]) / 1.349) ** 2)
+    starts = [q[1]] + [np.where(np.arange(4) == i, q[v], q[1]) for i in range(4) for v in (0, 2)]
+    found = []
+    for m in starts:
+        c = c0
+        for _ in range(3):
+            m, c = step(m, c)
+        found.append((det(c), len(found), m, c))
+    best = min(found, key=lambda f: f[:2])
+    for _ in range(20):
+        m, c = step(*best[2:])
+        was, best = best[0], (det(c), 0, m, c) if det(c) < best[0] else best
+        if was - best[0] < 1e-3:
+            break
+    cell = cells(dist(*best[2:]))
+    half = np.sort(cell)[int(np.ceil(0.5 * n)) - 1]
+    scale = max(1.0, np.expm1((half + 1) / 50) / quality_rules.CHI_MEDIAN)
+    near = x[cell <= cells(np.array(scale * quality_rules.CHI_UPPER))]
+    return near.mean(0), (near.T @ near / len(near) - np.outer(near.mean(0), near.mean(0))) * quality_rules.CONSISTENT, best[0]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.45])
+def test_mcd_rejects_planted_junk(spark, share):
+    """Up to 45 % of alike junk in a group: it is rejected whole, the rest is kept; the estimate is numpy's."""
     import numpy as np
 
     rng = np.random.default_rng(4)
     x = rng.multivariate_normal([1, 2, 0.1, 0.5], np.diag([0.04, 0.2, 0.01, 0.2]), 800)
-    x[:80] += [3, 5, 2, 4]
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, x0 double, x1 double, x2 double, x3 double")
-    p = quality_rules.mcd(df).first()
-    m, cov = np.median(x, 0), np.diag(2.198 * np.median(np.abs(x - np.median(x, 0)), 0) ** 2)
+    junk = int(share * len(x))
+    x[:junk] += [1, 3, 1, 3]
+    df = spark.createDataFrame([("l", "g", *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    p = quality_rules.mcd(df.withColumn("grp", F.lit("g"))).first()
+    m, c, least = numpy_mcd(x)
+    assert np.allclose([p[k] for k in quality_rules.M], m, atol=1e-6) and abs(p.det - least) < 1e-6
+    assert np.allclose([p[k] for k in quality_rules.C], [c[i, j] for i, j in quality_rules.PAIRS], atol=1e-6)
+    e = quality_rules.estimates(df).select(*quality_rules.M, *quality_rules.L)
+    got = quality_rules._distances(df.withColumn("i", F.monotonically_increasing_id()).crossJoin(e)).orderBy("i").collect()
+    assert sum(r.d2 > quality_rules.CUTOFF for r in got) == junk
+    assert sum(r.d2 > quality_rules.CUTOFF for r in got if r.x2 > 0.7) == junk
+
+
+def test_quality_rules_end_to_end_equal_numpy(spark):
+    """Distances and verdicts of all rows, in groups of any size, against estimates per group mixed with those of language and all."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = {r.doc_id: r for r in quality_rules.query(docs).collect()}
+    x, keys = {}, {}
+    for i, r in got.items():
+        if not r.base_failed:
+            n = max(1, r.n_words)
+            x[i] = np.array([math.log(max(0.1, r.word_chars / n)), math.log1p(100 * r.n_symbols / n), r.n_repeat_words / n, math.log1p(100 * r.n_dup_lines / n)])
+            keys[i] = ((rows[i].lang, rows[i].source), (rows[i].lang,), ())
+    by = defaultdict(list)
+    for i, ks in keys.items():
+        for k in ks:
+            by[k].append(x[i])
+    raw = {k: (len(v), *numpy_mcd(np.array(v))[:2]) for k, v in by.items()}
+
+    def mixed(own, parent):
+        n, m, c = own
+        w = n / (n + quality_rules.PRIOR)
+        return n, w * m + (1 - w) * parent[1], w * c + (1 - w) * parent[2] + w * (1 - w) * np.outer(m - parent[1], m - parent[1])
+
     floor = np.diag(np.array(quality_rules.FLOORS) ** 2)
-    for _ in range(3):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov + floor), x - m)
-        cell = np.floor(np.log1p(d) * 50)
-        near = x[cell <= np.sort(cell)[int(np.ceil(0.75 * len(x))) - 1]]
-        m, cov = near.mean(0), np.cov(near.T, bias=True)
-    assert np.allclose([p[f"m{i}"] for i in range(4)], m, atol=0.02)
-    factor = np.linalg.cholesky(cov + floor)
-    assert np.allclose([p[f"l{i}{j}"] for i, j in quality_rules.PAIRS], [factor[i, j] for i, j in quality_rules.PAIRS], atol=0.03)
-    got = quality_rules._distances(df, spark.createDataFrame([p])).withColumn("d", F.col("d2") / p["scale"]).collect()
-    assert sum(r.d > quality_rules.CUTOFF for r in got) == 80
+    assert min(n for n, *_ in raw.values()) < 20
+    for i, (one, two, every) in keys.items():
+        _, m, c = mixed(raw[one], mixed(raw[two], raw[every]))
+        d = (x[i] - m) @ np.linalg.inv(c + floor) @ (x[i] - m)
+        assert abs(got[i].distance - d) < 1e-5 * max(1, d) and got[i].kept == (d <= quality_rules.CUTOFF)
+    assert sum(r.kept for r in got.values()) > 0.7 * len(x)
+
+
+def test_beside_splits_hot_keys(spark):
+    from brookline.llm.common import beside
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), "id")
+    small = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    want = sorted(map(tuple, rows.withColumn("v", F.col("k") * 2).collect()))
+    assert all(sorted(map(tuple, beside(rows, small, ["k"], few).select("k", "id", "v").collect())) == want for few in (True, False, None))
 
 
 # ---- 10
