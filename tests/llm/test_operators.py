@@ -489,27 +489,83 @@ def test_lm_small_head_and_model_gain(spark):
     train = big.where("doc_id % 5 <> 1")
     counted = maxent.counts(train)
     scores = [maxent.score(big, maxent.fit(train, counted, head=head), counted, [F.col("doc_id")]).agg(F.sum("base_score"), F.sum("score")).first() for head in (300, 1 << 17)]
-    assert abs(scores[0][0] - scores[1][0]) < 1e-6 * abs(scores[0][0])  # the head is a matter of speed only
+    assert abs(scores[0][0] - scores[1][0]) < 1e-6 * abs(scores[0][0])  # to the base the head is a matter of speed only
     assert scores[1][1] > scores[1][0]
 
 
-def test_lm_is_a_distribution():
+def _random_model(n):
     import numpy as np
 
     rng = np.random.default_rng(3)
-    n = maxent.CLASSES * maxent.MEMBERS
-    head = np.sort(rng.integers(2, 1 << 63, n + 50).astype(np.uint64))
-    c = np.arange(n + 50, 0, -1)
-    m = maxent.Model(head, c, np.arange(n + 50), int(c.sum()), n + 50)
-    m.w_class[:] = rng.standard_normal(m.w_class.shape)
-    m.w_member[:] = rng.standard_normal(m.w_member.shape)
-    f = maxent.features(np.array([5, 6, 7], np.uint64), np.zeros(3, int))
-    f = tuple(x[2:] for x in f)
-    p_class = maxent._softmax(sum(m.w_class[x] for x in f))[0]
-    total = p_class[-1]
-    for k in range(maxent.CLASSES):
-        total += p_class[k] * maxent._softmax(sum(m.w_member[x] for x in maxent.member_rows(f, np.array([k]))))[0].sum()
-    assert abs(total - 1) < 1e-5
+    head = np.unique(rng.integers(2, 1 << 63, n).astype(np.uint64))
+    rng.shuffle(head)
+    c = np.sort(rng.integers(1, 1000, len(head)))[::-1]
+    return maxent.untrained(head, c, int(c.sum()) + 500, len(c) + 200), head
+
+
+def test_lm_is_a_distribution():
+    """Over all words of the head and the class of all others, the untrained and any other model sum to 1; the untrained one is the base."""
+    import numpy as np
+
+    m, head = _random_model(20_000)
+    rank = np.append(np.arange(len(head)), len(maxent.tree()[0]) - 1)
+    f = tuple(np.full(len(rank), v, np.uint64) for v in (5, 6, 7))
+    p = np.exp(maxent.log_p(m, rank, f))
+    base = (np.append(np.sort(m.head_c)[::-1] + 0.5, m.tail_mass)) / (m.total + 0.5 * (m.distinct + 1))
+    assert abs(p.sum() - 1) < 1e-4 and np.allclose(p, base, rtol=1e-3)
+    m.w += np.random.default_rng(4).standard_normal(m.w.shape).astype(np.float32)
+    assert abs(np.exp(maxent.log_p(m, rank, f)).sum() - 1) < 1e-3
+    depth, node, child, classes = maxent.tree()
+    assert len(depth) - 1 >= maxent.HEAD and len({tuple(x) for x in zip(node[:-1].tolist(), child[:-1].tolist(), strict=True) for x in [(*map(tuple, x),)]}) == len(depth) - 1
+
+
+def test_lm_score_equals_brute_force(spark, docs):
+    """The score of each text, token by token, with one softmax after another."""
+    import numpy as np
+
+    train = docs.where("doc_id % 5 <> 1").select("doc_id", "text")
+    counted = maxent.counts(train)
+    m = maxent.fit(train, counted, head=3000)
+    count = {r.word: r.c for r in counted.collect()}
+    some = docs.where("length(text) between 1 and 1500").select("doc_id", "text").limit(12)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    rank_of = {int(h): int(r) for h, r in zip(m.head.tolist(), m.rank.tolist(), strict=True)}
+    mix = lambda x: int(maxent.mix(np.array([x % (1 << 64)], np.uint64))[0])
+    hash_of = lambda w: int(maxent.tokens(next(maxent.chunks(maxent.pa.array([w]))))[0][0])
+
+    def way(rank):
+        if rank is None:
+            return [(0, maxent.TAIL)]
+        classes = 1
+        for k, d in enumerate(maxent.DEPTHS):
+            if rank < 16**d:
+                out = [(0, k)]
+                for j in range(d):
+                    out.append((classes + rank // 16 ** (d - j), rank // 16 ** (d - 1 - j) % 16))
+                    classes += 16**j
+                return out
+            rank -= 16**d
+            classes += sum(16**j for j in range(d))
+
+    n_classes = maxent.tree()[3]
+    want = {}
+    for i, t in texts.items():
+        before, total = [1, 1], 0.0
+        for h in [*map(hash_of, WORDS.findall(lowered(t))), int(maxent.END)]:
+            two, one = before[-2:]
+            f = mix(one + 11), mix(two + 13), mix(one * 31 + mix(two) + 12)
+            rank = rank_of.get(h)
+            for level, (cls, took) in enumerate(way(rank)):
+                salt = mix(cls + (1 << 40))
+                rows = [cls, *(n_classes + (mix(x ^ ((salt + k) % (1 << 64))) & (maxent.FEATURES - 1)) for k, x in enumerate(f if level == 0 else f[:2]))]
+                s = sum(m.w[r].astype(float) for r in rows)
+                total += (s[took] - math.log(sum(map(math.exp, s)))) / math.log(10)
+            if rank is None:
+                total += math.log10(count.get(h - (1 << 64) if h >= 1 << 63 else h, 0) + 0.5) - math.log10(m.tail_mass)
+            before.append(h)
+        want[i] = total
+    got = {r.doc_id: r.score for r in maxent.score(some, m, counted, [F.col("doc_id")]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 * abs(want[i]) for i in want)
 
 
 # ---- 7
