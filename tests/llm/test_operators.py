@@ -338,6 +338,15 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert sorted((r.doc_id for r in left if r.doc_id), key=int) == [1, 2, 3, 4, 5, 6, 10, 11, 12]
 
 
+def test_near_duplicates_names_and_ids(spark):
+    rows = [(1, "a b c d e f", 9, 9, 9), (2, "a b c d e f", 9, 9, 9), (3, "other words stand in here now", 9, 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, __kept int, __rows int, __id int")
+    left = neardup.deduplicated(df)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+    with pytest.raises(TypeError, match="not an integer"):
+        neardup.query(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_superminhash_estimates_similarity():
     import numpy as np
 
