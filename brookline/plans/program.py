@@ -13,7 +13,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relation import LINEAGE
+from ..operators.relation import ID, LINEAGE
 from ..sources.collections import DELETE_LATER, Channel, Collection, Periodic, Rule, Scratch, Stdin, Stdout, Table
 from ..sources.history import History, NoHistory
 from ..sources.shared import written
@@ -106,7 +106,8 @@ class Executor:
     def _execute(self, number: int, rule: Rule) -> None:
         self.time += 1
         head, names = rule.head, rule.head.names
-        body = rule.relation(self.time).with_lineage
+        relation = rule.relation(self.time)
+        body, edges = relation._df, relation._edges
         keep_lineage = not isinstance(self.history, NoHistory)
         cols = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
         rows = written(body.select(*cols, *([LINEAGE] if keep_lineage else [])), f"{head.name}-rule")
@@ -115,7 +116,8 @@ class Executor:
             self.history.log(self.name, head.name, rows, names, "I" if insert else "D", self.time)
             if insert and isinstance(head, Channel | Stdout):
                 self.history.log(self.name, head.name, rows, names, "D", self.time)
-            self.history.derived(self.name, head.name, rows, names, number, insert, self.time)
+            more = None if edges is None else edges.toDF(*names, ID)
+            self.history.derived(self.name, head.name, rows, names, number, insert, self.time, more)
         head.apply(rule.op, rows, self.time)
 
     def receive(self, channel: str, rows: DataFrame, dep_node: str | None = None, dep_time: int = 0) -> None:

@@ -399,8 +399,8 @@ def lineage_join(spark, d):
 def lineage_group_by(spark, d):
     """A group comes from all its tuples; ids lead back to their keys."""
     node = _stored(spark, "lg", _read(spark, d, "customer", "c_custkey", "c_nationkey"), [("c_custkey", "bigint"), ("c_nationkey", "int")])
-    g = node["t"].scan().group_by([1], Count()).with_lineage.select(F.col("c0").alias("c_nationkey"), F.explode(LINEAGE).alias("id"))
-    return g.join(node["t"].state, F.col("id.hash") == F.col("_hash")).select(g["c_nationkey"], "c_custkey")
+    g = node["t"].scan().group_by([1], Count()).lineage.select(F.col("c0").alias("nation"), F.col("_id.hash").alias("of"))
+    return g.join(node["t"].state, F.col("of") == F.col("_hash")).select(F.col("nation").alias("c_nationkey"), "c_custkey")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:

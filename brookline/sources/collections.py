@@ -1,7 +1,8 @@
 """Collections: named relations that rules read and write.
 
 A collection's state is a DataFrame of its columns, ``_hash`` (the tuple's hash) and ``_times`` (the logical times
-at which the tuple was inserted). States are sets. Each kind allows certain rules as head:
+at which the tuple was inserted). States are sets. What a rule adds is appended as a part of its own; parts are
+united when they are read, and written as one when there are PARTS of them. Each kind allows certain rules as head:
 
 table: merge, merge_later, delete_later    scratch, channel: merge    stdout: merge, merge_later
 stdin, periodic: none
@@ -22,6 +23,7 @@ from .shared import written
 
 MERGE, MERGE_LATER, DELETE_LATER = "<=", "+=", "-="
 Body = Relation | Callable[[int], Relation]
+PARTS = 8
 
 
 @dataclass
@@ -49,10 +51,24 @@ class Collection:
         self.spark, self.name, self.schema = spark, name, schema_of(columns)
         self.names = self.schema.names
         self.empty = spark.createDataFrame([], self.schema).withColumn("_hash", F.lit(0).cast("long")).withColumn("_times", F.array().cast("array<int>"))
-        self.state = self.empty
+        self._whole: DataFrame | None = None  # one row a tuple
+        self._parts: list[DataFrame] = []  # tuples added since, repeated or not
         self.later: list[DataFrame] = []
         self.deletes: list[DataFrame] = []
 
+    @property
+    def state(self) -> DataFrame:
+        parts = [x for x in (self._whole, *self._parts) if x is not None]
+        return self.empty if not parts else self._whole if not self._parts else self._united(parts)
+
+    def _add(self, new: DataFrame) -> None:
+        self._parts.append(new)
+        if len(self._parts) >= PARTS:
+            self._settle(self.state)
+
+    def _settle(self, state: DataFrame | None) -> None:
+        self._whole, self._parts = state if state is None else written(state, self.name), []
+
     # ---- reading
 
     def scan(self) -> Relation:
@@ -89,8 +105,8 @@ class Collection:
         return [F.col(f"`{n}`") for n in self.names]
 
     def stamped(self, rows: DataFrame, time: int) -> DataFrame:
-        """Distinct tuples with their hash and one time."""
-        return rows.select(*self._cols()).distinct().select(*self._cols(), tuple_hash(*self._cols()).alias("_hash"), F.array(F.lit(time)).alias("_times"))
+        """Tuples with their hash and one time; repeated ones become one when parts are united."""
+        return rows.select(*self._cols(), tuple_hash(*self._cols()).alias("_hash"), F.array(F.lit(time)).alias("_times"))
 
     def _united(self, parts: list[DataFrame]) -> DataFrame:
         both = parts[0]
@@ -103,7 +119,7 @@ class Collection:
         """The effect of a rule on this head. rows are written already."""
         new = self.stamped(rows, time)
         if op == MERGE:
-            self.state = written(self._united([self.state, new]), self.name)
+            self._add(new)
         elif op == MERGE_LATER:
             self.later.append(new)
         else:
@@ -113,22 +129,20 @@ class Collection:
         """Ends a tick: deferred merges, then deferred deletes. Returns the tuples that go."""
         gone = None
         if self.keeps:
-            if self.later:
-                self.state = self._united([self.state, *self.later])
+            for new in self.later:
+                self._add(new)
             if self.deletes:
                 out = self.deletes[0].select(*self._cols())
                 for d in self.deletes[1:]:
                     out = out.unionByName(d.select(*self._cols()))
                 dead = out.distinct().select(*[F.col(f"`{n}`").alias(f"_d{i}") for i, n in enumerate(self.names)])
                 on = [F.col(f"`{n}`").eqNullSafe(F.col(f"_d{i}")) for i, n in enumerate(self.names)]
-                before = written(self.state, self.name)
+                before = self.state
                 gone = before.join(dead, on, "left_semi")
-                self.state = before.join(dead, on, "left_anti")
-            if self.later or self.deletes:
-                self.state = written(self.state, self.name)
+                self._settle(before.join(dead, on, "left_anti"))
         else:
-            gone = self.state if self.state is not self.empty else None
-            self.state = self.empty
+            gone = self.state if self._parts or self._whole is not None else None
+            self._settle(None)
         self.later, self.deletes = [], []
         return gone
 
@@ -157,8 +171,8 @@ class Channel(Collection):
 
     def receive(self, rows: DataFrame, time: int) -> DataFrame:
         """A batch of messages; returns the new tuples."""
-        new = self.stamped(rows, time)
-        self.state = written(self._united([self.state, new]), self.name)
+        new = self.stamped(written(rows.select(*self._cols()), self.name), time)
+        self._add(new)
         return new
 
 
@@ -227,7 +241,7 @@ class Periodic(Collection):
             return None
         rows = self.spark.createDataFrame(due, "id bigint, ms bigint").select("id", F.timestamp_millis("ms").alias("time"))
         new = self.stamped(rows, time)
-        self.state = self._united([self.state, new])
+        self._add(new)
         return new
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tuple_hash
-from ..operators.relation import LINEAGE
+from ..operators.relation import ID, LINEAGE
 from .shared import shared_dir
 
 EDGE = "dep_node string, dep_collection string, dep_hash bigint, dep_time int, rule int, inserted boolean, ptime timestamp, node string, collection string, hash bigint, time int"
@@ -58,10 +58,13 @@ class History:
         rows = rows.select(*cols).distinct()
         self._append(rows.select(F.lit(self.seq).cast("long").alias("seq"), F.lit(op).alias("op"), tuple_hash(*cols).alias("_hash"), F.lit(time).alias("time"), F.lit(self.clock()).cast("timestamp").alias("ptime"), *cols), "events", node, collection)
 
-    def derived(self, node: str, collection: str, rows: DataFrame, names: list[str], rule: int, inserted: bool, time: int) -> None:
-        """Edges from each tuple's lineage, one row an edge."""
+    def derived(self, node: str, collection: str, rows: DataFrame, names: list[str], rule: int, inserted: bool, time: int, more: DataFrame | None = None) -> None:
+        """Edges from each tuple's lineage, one row an edge; ``more`` has edges of groups: a tuple and ``_id`` a row."""
         cols = [F.col(f"`{n}`") for n in names]
-        e = rows.select(tuple_hash(*cols).alias("hash"), F.explode(LINEAGE).alias("d")).distinct()
+        e = rows.select(tuple_hash(*cols).alias("hash"), F.explode(LINEAGE).alias("d"))
+        if more is not None:
+            e = e.unionByName(more.select(tuple_hash(*cols).alias("hash"), F.col(ID).alias("d")))
+        e = e.distinct()
         now = F.lit(self.clock()).cast("timestamp")
         self._append(e.select(F.lit(node).alias("dep_node"), F.col("d.collection").alias("dep_collection"), F.col("d.hash").alias("dep_hash"), F.col("d.time").alias("dep_time"), F.lit(rule).alias("rule"), F.lit(inserted).alias("inserted"), now.alias("ptime"), F.lit(node).alias("node"), F.lit(collection).alias("collection"), "hash", F.lit(time).alias("time")), "edges")
 
