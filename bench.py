@@ -37,7 +37,7 @@ def lineage_ratio(spark) -> float:
         return Relation.scan(df, name, cols)
 
     grouped = scan("orders", "o_orderkey", "o_custkey").hash_join(scan("customer", "c_custkey", "c_nationkey"), [1], [0]).group_by([3], Count())
-    runs = {"off": lambda: grouped.df, "on": lambda: grouped.with_lineage}
+    runs = {"off": lambda: grouped.df, "on": lambda: grouped.lineage}
     took = {k: [timed(f) for _ in range(RUNS + 1)][1:] for k, f in runs.items()}
     return median(took["on"]) / median(took["off"])
 
