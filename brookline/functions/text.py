@@ -29,6 +29,12 @@ def random_alphanum(n: int, seed: int | None = None) -> Column:
     return F.randstr(F.lit(n)) if seed is None else F.randstr(F.lit(n), F.lit(seed))
 
 
+def random_id(seed: int | None = None) -> Column:
+    """Uniform 64-bit integers, negative ones too."""
+    half = lambda k: F.floor((F.rand() if seed is None else F.rand(seed + k)) * (1 << 32)).cast("long")
+    return F.shiftleft(half(0), 32).bitwiseOR(half(1))
+
+
 def zipf_weights(n: int, alpha: float) -> list[float]:
     """Weights 1 / (i + 1)^alpha."""
     return [(i + 1.0) ** -alpha for i in range(n)]

@@ -227,3 +227,14 @@ class Relation:
         out = [F.col("e")[n].alias(f"c{i}") for i, n in enumerate(kind.names)] if isinstance(kind, T.StructType) else [F.col("e").alias("c0")]
         names = list(names) if names else (kind.names if isinstance(kind, T.StructType) else ["x0"])
         return self._like(lambda df, keep: df.select(F.explode(f(Fields(self.names))).alias("e"), keep).select(*out, keep), names, f"FlatMap({self.text})")
+
+    def flat_map_udf(self, f: Callable[..., Iterable[tuple]], schema: str | T.StructType) -> Relation:
+        """A Python function of a row's values to any number of tuples, in Arrow batches."""
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+        def run(*cols):
+            return pd.Series([[dict(zip(schema.names, t, strict=True)) for t in f(*row)] for row in zip(*cols, strict=True)])
+
+        run.__annotations__ = {"cols": pd.Series, "return": pd.Series}
+        call = F.pandas_udf(run, T.ArrayType(schema))
+        return self.flat_map(lambda r: call(*r), schema.names)

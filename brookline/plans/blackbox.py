@@ -6,6 +6,7 @@ named parameter :id; Python is a callable, never stored source text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +49,18 @@ class BlackBoxes:
         user = self.spark.sql(how, args={"id": response_id}).select(*COLUMNS)
         own = requests().where(F.col("id") == response_id).select(*COLUMNS)
         return user.unionByName(own).distinct().orderBy(F.desc("ptime_inserted"))
+
+    def lineage_of(self, response: str, ids: DataFrame) -> DataFrame:
+        """The tuples that each of many responses depends on: id and COLUMNS, distinct. ids: one column of response ids.
+
+        SQL runs once as a lateral subquery, with :id as the id of the outer row; a Python function is given the ids as
+        a DataFrame and returns id and COLUMNS.
+        """
+        kind, how, requests = self._boxes[response]
+        asked = ids.toDF("id").distinct()
+        if kind == "python":
+            return how(self.spark, asked).select("id", *COLUMNS).distinct()
+        body = re.sub(r":id\b", "asked.id", how)
+        user = self.spark.sql("SELECT asked.id, found.* FROM {asked} AS asked, LATERAL (" + body + ") AS found", asked=asked).select("id", *COLUMNS)
+        own = requests().join(asked, "id", "left_semi").select("id", *COLUMNS)
+        return user.unionByName(own).distinct()

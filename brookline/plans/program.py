@@ -7,7 +7,7 @@ The clock starts at 0 and moves on before each rule, each receipt and each end o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.relation import ID, LINEAGE
 from ..sources.collections import DELETE_LATER, Channel, Collection, Periodic, Rule, Scratch, Stdin, Stdout, Table
 from ..sources.history import History, NoHistory
-from ..sources.shared import written
+from ..sources.shared import delete, folders, written
 from ..types import SchemaError, require_same, sql_name
 
 Rules = Callable[[SimpleNamespace], Sequence[Rule]]
@@ -49,7 +49,7 @@ class Program:
     def stdin(self) -> Program:
         return self._add(Stdin(self.spark))
 
-    def stdout(self, out: Callable[[str], None] = print) -> Program:
+    def stdout(self, out: Callable[[str], None] | str = print) -> Program:
         return self._add(Stdout(self.spark, out=out))
 
     def periodic(self, name: str, period_ms: int) -> Program:
@@ -139,6 +139,41 @@ class Executor:
             if new is not None:
                 self.history.log(self.name, c.name, new, c.names, "I", self.time)
 
+    def run(self, events: Iterable[tuple[str, DataFrame] | int]) -> None:
+        """The loop of a node: bootstrap if it has not run, then a receipt and a tick for each event.
+
+        An event is a channel (or "stdin") with a batch of messages, or a time in milliseconds, at which due periodics fire.
+        Events may come without end.
+        """
+        if self.time == 0:
+            self.bootstrap_tick()
+        for e in events:
+            self.fire(e) if isinstance(e, int) else self.receive(*e)
+            self.tick()
+
+    # ---- restarts
+
+    def snapshot(self, root: str, batch: int) -> None:
+        """Writes the tables and the clock below root/batch; the clock comes last and completes it. Older snapshots but one go."""
+        for c in self.collections.values():
+            if isinstance(c, Table):
+                c.state.write.mode("overwrite").parquet(f"{root}/{batch}/{c.name}")
+        self.spark.createDataFrame([(self.time, batch)], "time int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{root}/{batch}/_clock")
+        done = folders(self.spark, root)
+        for old in sorted(int(x) for x in done if x.isdigit() and int(x) < batch)[:-1]:
+            delete(self.spark, f"{root}/{old}")
+
+    def restore(self, root: str) -> int | None:
+        """Takes up the last complete snapshot; returns its batch, None if there is none."""
+        for batch in sorted((int(x) for x in folders(self.spark, root) if x.isdigit()), reverse=True):
+            if "_SUCCESS" in folders(self.spark, f"{root}/{batch}/_clock"):
+                for c in self.collections.values():
+                    if isinstance(c, Table):
+                        c.take(self.spark.read.schema(c.empty.schema).parquet(f"{root}/{batch}/{c.name}"))
+                self.time = self.spark.read.schema("time int, batch long").parquet(f"{root}/{batch}/_clock").first()[0]
+                return batch
+        return None
+
     def take_sent(self) -> list[tuple[str, int, DataFrame]]:
         """(channel, time, messages) that rules have sent since the last call."""
         out = [(c.name, t, df) for c in self.collections.values() if isinstance(c, Channel) for t, df in c.sent]

@@ -66,6 +66,10 @@ class Collection:
         if len(self._parts) >= PARTS:
             self._settle(self.state)
 
+    def take(self, state: DataFrame) -> None:
+        """A state from elsewhere, written already."""
+        self._whole, self._parts, self.later, self.deletes = state, [], [], []
+
     def _settle(self, state: DataFrame | None) -> None:
         self._whole, self._parts = state if state is None else written(state, self.name), []
 
@@ -186,11 +190,12 @@ class Stdin(Collection):
 
 
 class Stdout(Collection):
-    """Lines go to ``out`` in order: merged ones at once, deferred ones at the tick."""
+    """Lines go to ``out`` in order: merged ones at once, deferred ones at the tick. ``out`` is called for each line, or is
+    the path of a folder to which Spark appends them as text, so that many lines need not pass the driver."""
 
     kind, allowed = "Stdout", (MERGE, MERGE_LATER)
 
-    def __init__(self, spark: SparkSession, name: str = "stdout", out: Callable[[str], None] = print) -> None:
+    def __init__(self, spark: SparkSession, name: str = "stdout", out: Callable[[str], None] | str = print) -> None:
         super().__init__(spark, name, [("stdout", "string")])
         self.out = out
 
@@ -201,8 +206,12 @@ class Stdout(Collection):
             self.later.append(rows.select("stdout").distinct())
 
     def _print(self, rows: DataFrame) -> None:
-        for r in rows.select("stdout").distinct().orderBy("stdout").toLocalIterator():
-            self.out(r[0])
+        lines = rows.select("stdout").distinct().orderBy("stdout")
+        if isinstance(self.out, str):
+            lines.write.mode("append").text(self.out)
+        else:
+            for r in lines.toLocalIterator():
+                self.out(r[0])
 
     def tick(self) -> None:
         for rows in self.later:

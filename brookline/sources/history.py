@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tuple_hash
 from ..operators.relation import ID, LINEAGE
-from .shared import shared_dir
+from .shared import folders, shared_dir
 
 EDGE = "dep_node string, dep_collection string, dep_hash bigint, dep_time int, rule int, inserted boolean, ptime timestamp, node string, collection string, hash bigint, time int"
 
@@ -38,7 +38,23 @@ class History:
 
     def __init__(self, spark: SparkSession, root: str | None = None, clock=lambda: datetime.now(timezone.utc)) -> None:
         self.spark, self.root, self.clock = spark, root or f"{shared_dir(spark)}/history", clock
-        self.seq = 0
+        self._seq: int | None = None
+
+    @property
+    def seq(self) -> int:
+        """The number of the last event, also of earlier runs."""
+        if self._seq is None:
+            self._seq = self._last()
+        return self._seq
+
+    @seq.setter
+    def seq(self, value: int) -> None:
+        self._seq = value
+
+    def _last(self) -> int:
+        if not folders(self.spark, f"{self.root}/events"):
+            return 0
+        return self.spark.read.schema("seq long").parquet(f"{self.root}/events/*/*").agg(F.max("seq")).first()[0] or 0
 
     def _append(self, df: DataFrame, *path: str) -> None:
         df.write.mode("append").parquet("/".join([self.root, *path]))
@@ -76,19 +92,41 @@ class History:
 
     # ---- reading
 
+    def _read(self, *path: str) -> DataFrame:
+        return self.spark.read.parquet("/".join([self.root, *path]))
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """nodes, collections or rules; a node that started again is in it once."""
+        return self._read(name).distinct()
 
     def edges(self) -> DataFrame:
-        return self.spark.read.schema(EDGE).parquet(f"{self.root}/edges")
+        return self._read("edges").select(*[x.split()[0] for x in EDGE.split(", ")])
 
     def history(self, node: str, collection: str) -> DataFrame:
-        return intervals(self.spark.read.parquet(f"{self.root}/events/{node}/{collection}"))
+        return intervals(self._read("events", node, collection))
 
     def at(self, node: str, collection: str, time: int) -> DataFrame:
         return as_of(self.history(node, collection), time)
 
 
+class MemoryHistory(History):
+    """The same tables as plans over what rules have written, without files of their own; they end with the session."""
+
+    def __init__(self, spark: SparkSession, clock=lambda: datetime.now(timezone.utc)) -> None:
+        super().__init__(spark, "memory", clock)
+        self._tables: dict[tuple[str, ...], DataFrame] = {}
+
+    def _last(self) -> int:
+        return 0
+
+    def _append(self, df: DataFrame, *path: str) -> None:
+        was = self._tables.get(path)
+        self._tables[path] = df if was is None else was.unionByName(df)
+
+    def _read(self, *path: str) -> DataFrame:
+        return self._tables[path]
+
+
 class NoHistory:
     """Logs nothing."""
 

@@ -25,3 +25,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, at: str) -> list[str]:
+    """Names of what a folder of any store holds; none if it is not there."""
+    path, store = _path(spark, at)
+    return [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path, store = _path(spark, at)
+    store.delete(path, True)
