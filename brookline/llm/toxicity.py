@@ -237,9 +237,15 @@ def sampled(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_
     of = lambda y: given.where((F.col("y") == y) & (key < share[y])).select(key.alias("k"), F.col("doc_id").alias("__id"), "y").orderBy("k", "__id").limit(max_train)
     chosen = of(0).unionByName(of(1))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where(F.length("text") > 0)
-    texts = written(texts.select("k", "doc_id", _pieces(F.col("text"), max_chars).alias("text"), "y"), "toxicity-sample")
-    first = lambda y: texts.where(F.col("y") == y).orderBy("k", "doc_id", "text").limit(max_train)  # noqa: E731  ids may repeat
-    return first(0).unionByName(first(1)), counts
+    texts = written(texts.select("k", "doc_id", _pieces(F.col("text"), max_chars).alias("text"), "y").withColumn("h", F.xxhash64("text")), "toxicity-sample")
+    line = ["k", "doc_id", "h"]
+    parts = []
+    for y in (0, 1):  # ids may repeat, so rows are counted anew, by narrow keys; equal rows are one
+        own = texts.where(F.col("y") == y)
+        last = own.select(*line).distinct().orderBy(*line).limit(max_train).agg(F.max(F.struct(*line))).first()[0]
+        upto = F.lit(False) if last is None else F.struct(*line) <= F.struct(*[F.lit(v).cast(texts.schema[c].dataType) for c, v in zip(line, last, strict=True)])
+        parts.append(own.where(upto).dropDuplicates(line))
+    return parts[0].unionByName(parts[1]).drop("h"), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS, epochs: int = 6, seed: int = 7) -> Network:
