@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ from .functions import text as tx
 from .functions import vclock
 from .functions.aggregates import Avg, Count, Sum, Union, UserAggregate
 from .operators.relation import LINEAGE, Relation
-from .plans import patterns
+from .plans import debugger, patterns
+from .plans.blackbox import BlackBoxes
 from .plans.debugger import closure
 from .plans.program import Executor, Program, deliver
-from .sources.history import History, as_of, intervals
-from .sources.shared import shared_dir
+from .sources.history import History, MemoryHistory, as_of, intervals
+from .sources.shared import shared_dir, written
 from .streaming.run import run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +197,37 @@ def text_helpers(spark, d):
     return r.map(lambda r: [r[0], F.size(tx.split_words(r.text)), F.length(tx.crunch_whitespace(r.text)), tx.join_words(F.array(r.lang, r.source))], ["doc_id", "pieces", "crunched", "joined"]).df
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS code FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R')")
+def iterable_constant(spark, d):
+    """A constant relation, read anew at each evaluation, joined with a table."""
+    codes = Relation.iterable(spark, lambda: [("A", 1), ("N", 2), ("R", 3)], "flag string, code int")
+    return _read(spark, d, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber").hash_join(codes, [0], [0]).project(1, 2, 4).df
+
+
+@query("SELECT l_suppkey, (max(l_partkey) - min(l_partkey))::BIGINT AS spread FROM lineitem GROUP BY 1")
+def agg_pandas_udaf(spark, d):
+    """A user's aggregate as a grouped pandas function."""
+
+    def spread(x):
+        return int(x.max() - x.min())
+
+    spread.__annotations__ = {"x": pd.Series, "return": int}
+    return _read(spark, d, "lineitem", "l_suppkey", "l_partkey").group_by([0], UserAggregate("Spread", (1,), F.pandas_udf(spread, "bigint"))).named("l_suppkey", "spread").df
+
+
+@query("SELECT s_suppkey, i AS step, s_suppkey * i AS times FROM supplier, range(7) r(i) WHERE i < s_suppkey % 7")
+def flat_map_udf(spark, d):
+    """A Python function of a row to any number of rows."""
+    return _read(spark, d, "supplier", "s_suppkey").flat_map_udf(lambda k: [(k, i, k * i) for i in range(k % 7)], "s_suppkey bigint, step bigint, times bigint").df
+
+
+@query("SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS ids, true AS in_range, true AS alphanumeric, true AS both_signs FROM orders")
+def random_helpers(spark, d):
+    """Random ids do not collide, other random values keep to their range."""
+    r = spark.read.parquet(f"{d}/orders.parquet").select(tx.random_id(7).alias("id"), tx.rand_int(3, 9, 7).alias("i"), tx.random_alphanum(12, 7).alias("s"))
+    return r.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.bool_and(F.col("i").between(3, 8)).alias("in_range"), F.bool_and(F.col("s").rlike("^[A-Za-z0-9]{12}$")).alias("alphanumeric"), ((F.min("id") < 0) & (F.max("id") > 0)).alias("both_signs"))
+
+
 # ---- rules and ticks
 
 
@@ -303,6 +337,50 @@ def closure_by_ticks(spark, d):
     return node["path"].df
 
 
+@query("SELECT n_name, i AS id, 1000 * (i + 1) AS ms, 'p' AS timer FROM nation, range(3) r(i) UNION ALL SELECT n_name, 0, 3000, 'q' FROM nation")
+def periodic_timers(spark, d):
+    """Two timers: a row for each period that has passed, gone at the tick; each meets a table while it is there."""
+    names, cols = _read(spark, d, "nation", "n_name"), [("n_name", "string"), ("id", "bigint"), ("at", "timestamp"), ("timer", "string")]
+    row = lambda name: lambda r: [r[2], r[0], r[1], F.lit(name)]
+    node = Program(spark, "timers").table("nation", [("n_name", "string")]).table("seen", cols).periodic("p", 1000).periodic("q", 3000).bootstrap(lambda c: [c.nation.merge(names)])
+    node = node.rules(lambda c: [c.seen.merge(lambda now, t=t: getattr(c, t).scan().cross(c.nation.scan()).map(row(t))) for t in ("p", "q")]).start()
+    node.run([500, 1000, 3100])
+    return node["seen"].df.select("n_name", "id", F.unix_millis("at").alias("ms"), "timer")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("SELECT upper(p_name) AS line, 'now' AS told FROM part WHERE p_size > 25 GROUP BY 1 UNION ALL SELECT lower(p_name), 'later' FROM part GROUP BY 1")
+def stdin_stdout(spark, d):
+    """Lines that come in are printed at once by one rule and at the tick by another."""
+    lines = _read(spark, d, "part", "concat(p_size, ' ', p_name) as stdin")
+    sized = lambda c: c.stdin.scan().map(lambda r: [F.substring_index(r[0], " ", 1).cast("int"), F.regexp_replace(r[0], "^[0-9]+ ", "")], ["size", "name"])
+    at = _folder(spark, "stdout")
+    node = Program(spark, "lines").stdin().stdout(at).rules(lambda c: [c.stdout.merge(lambda now: sized(c).filter(lambda r: r[0] > 25).map(lambda r: [F.concat(F.lit("now "), F.upper(r[1]))])), c.stdout.merge_later(lambda now: sized(c).map(lambda r: [F.concat(F.lit("later "), F.lower(r[1]))]))]).start()
+    node.run([("stdin", lines.df)])
+    said = spark.read.text(at)
+    return said.select(F.regexp_replace("value", "^[a-z]+ ", "").alias("line"), F.substring_index("value", " ", 1).alias("told"))
+
+
+@query("SELECT 'chat' AS via, o_orderpriority AS text, count(*)::BIGINT AS n FROM orders GROUP BY 2 UNION ALL SELECT 'timer', 'tick', 2")
+def run_loop(spark, d):
+    """The loop of a node: bootstrap, then receipts, lines and timers, a tick after each."""
+    src = _read(spark, d, "orders", "'n' as addr", "o_orderkey as id", "o_orderpriority as text")
+    cols = [("id", "bigint"), ("text", "string"), ("via", "string")]
+    node = Program(spark, "n").channel("ch", [("addr", "string"), ("id", "bigint"), ("text", "string")]).periodic("p", 10).stdin().table("seen", cols).table("on", [("x", "int")])
+    node = node.bootstrap(lambda c: [c.on.merge(Relation.iterable(spark, [(1,)], "x int"))]).rules(
+        lambda c: [
+            c.seen.merge(lambda now: c.ch.scan().cross(c.on.scan()).map(lambda r: [r[1], r[2], F.lit("chat")])),
+            c.seen.merge(lambda now: c.p.scan().map(lambda r: [r[0], F.lit("tick"), F.lit("timer")])),
+        ]
+    ).start()
+    half = lambda k: src.filter(lambda r: r[1] % 2 == k).df
+    node.run([("ch", half(0)), 10, ("ch", half(1)), 20])
+    return node["seen"].scan().group_by([2, 1], Count()).named("via", "text", "n").df
+
+
 # ---- programs
 
 
@@ -347,6 +425,120 @@ def chat_multicast(spark, d):
     return node.take_sent()[-1][2]
 
 
+HEAD = [("dst_addr", "string"), ("src_addr", "string"), ("id", "bigint")]
+
+
+@query("SELECT 'client' || (o_orderkey % 10) AS addr, o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN c_name ELSE '' END AS value FROM orders JOIN customer ON o_custkey = c_custkey")
+def kvs_black_box(spark, d):
+    """A store outside the program, of which rules see only what a service answers; an absent key reads as the empty string."""
+    store = written(spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("k"), "c_name"), "store")
+    answer = lambda df: df.join(store, F.col("key") == F.col("k"), "left").select(F.col("src_addr").alias("addr"), "id", F.coalesce("c_name", F.lit("")).alias("value"))
+    node = Program(spark, "kvs").channel("get_request", [*HEAD, ("key", "string")]).channel("get_response", [("addr", "string"), ("id", "bigint"), ("value", "string")])
+    node = node.rules(lambda c: [c.get_response.merge(lambda now: Relation.of(answer(c.get_request.df)))]).start()
+    node.receive("get_request", _read(spark, d, "orders", "'kvs' as dst", "concat('client', o_orderkey % 10) as src", "o_orderkey as id", "cast(o_custkey as string) as k").df)
+    node.tick()
+    return node.take_sent()[0][2]
+
+
+@query("SELECT DISTINCT c_name AS line FROM customer WHERE c_custkey % 3 = 0")
+def kvs_command_line(spark, d):
+    """SET and GET lines are split and sent to the store; its answers are printed. Other lines are ignored."""
+    at = _folder(spark, "stdout")
+    parts = lambda c, n, word: c.split.scan().filter(lambda r: (F.size(r[0]) == n) & (F.get(r[0], F.lit(0)) == word))
+    part = lambda r, i: F.get(r[0], F.lit(i))
+    to = lambda r: [F.lit("server"), F.lit("client"), tx.tuple_hash(r[0])]
+    client = Program(spark, "client").stdin().stdout(at).scratch("split", [("parts", "array<string>")]).channel("get_request", [*HEAD, ("key", "string")]).channel("set_request", [*HEAD, ("key", "string"), ("value", "string")])
+    client = client.channel("get_response", [("addr", "string"), ("id", "bigint"), ("value", "string")]).rules(
+        lambda c: [
+            c.split.merge(lambda now: c.stdin.scan().map(lambda r: [tx.split_words(r[0])])),
+            c.get_request.merge(lambda now: parts(c, 2, "GET").map(lambda r: [*to(r), part(r, 1)])),
+            c.set_request.merge(lambda now: parts(c, 3, "SET").map(lambda r: [*to(r), part(r, 1), part(r, 2)])),
+            c.stdout.merge(lambda now: c.get_response.scan().project(2)),
+        ]
+    ).start()
+    server = kvs(spark).start()
+    lines = _read(spark, d, "customer", "concat('SET  k', c_custkey, ' ', replace(c_name, ' ', '_')) as line", "concat('GET k', c_custkey) as ask", "c_custkey")
+    for rows in (lines.project(0).df, lines.filter(lambda r: r[2] % 3 == 0).project(1).df.unionByName(lines.map(lambda r: [F.concat(F.lit("PUT k"), r[2])], ["ask"]).df)):
+        client.receive("stdin", rows.toDF("stdin"))
+        client.tick()
+        deliver(client, [server])
+        server.tick()
+    for name, _, rows in server.take_sent():
+        if name == "get_response":
+            client.receive(name, rows)
+    client.tick()
+    return spark.read.text(at).select(F.col("value").alias("line"))
+
+
+@query("SELECT DISTINCT n_name AS line FROM nation")
+def chat_client(spark, d):
+    """A client joins, sends its lines, and prints what the server sends to all members."""
+    at = _folder(spark, "stdout")
+    connect, mcast = [("server", "string"), ("client", "string"), ("nick", "string")], [("addr", "string"), ("msg", "string")]
+    server = Program(spark, "chat").table("nodelist", [("client", "string"), ("nick", "string")]).channel("connect", connect).channel("mcast", mcast)
+    server = server.rules(lambda c: [c.nodelist.merge(lambda now: c.connect.scan().project(1, 2)), c.mcast.merge(lambda now: c.mcast.scan().cross(c.nodelist.scan()).project(2, 1))]).start()
+    client = Program(spark, "me").stdin().stdout(at).channel("connect", connect).channel("mcast", mcast).bootstrap(lambda c: [c.connect.merge(Relation.iterable(spark, [("chat", "me", "nick")], "s string, c string, n string"))])
+    client = client.rules(lambda c: [c.mcast.merge(lambda now: c.stdin.scan().map(lambda r: [F.lit("chat"), r[0]])), c.stdout.merge(lambda now: c.mcast.scan().project(1))]).start()
+    client.bootstrap_tick()
+    deliver(client, [server])
+    server.tick()
+    client.receive("stdin", _read(spark, d, "nation", "n_name").df)
+    client.tick()
+    deliver(client, [server])
+    server.tick()
+    deliver(server, [client])
+    client.tick()
+    return spark.read.text(at).select(F.col("value").alias("line"))
+
+
+@query("SELECT s_name AS addr, 'ping ' || i AS msg FROM supplier, range(3) r(i)")
+def ping_client(spark, d):
+    """A client that sends a message each period; the server passes them on to all members."""
+    mcast = [("addr", "string"), ("msg", "string")]
+    server = Program(spark, "chat").table("nodelist", [("client", "string")]).channel("mcast", mcast).bootstrap(lambda c: [c.nodelist.merge(_read(spark, d, "supplier", "s_name"))])
+    server = server.rules(lambda c: [c.mcast.merge(lambda now: c.mcast.scan().cross(c.nodelist.scan()).project(2, 1))]).start()
+    client = Program(spark, "ping").periodic("p", 1000).channel("mcast", mcast).rules(lambda c: [c.mcast.merge(lambda now: c.p.scan().map(lambda r: [F.lit("chat"), F.concat(F.lit("ping "), r[0].cast("string"))]))]).start()
+    server.bootstrap_tick()
+    client.run([1000, 2500, 3000])
+    deliver(client, [server])
+    server.tick()
+    return server.take_sent()[-1][2]
+
+
+@query("""WITH m AS (SELECT max(CASE WHEN user_id % 3 = 0 THEN event_id END)::INTEGER AS a, max(CASE WHEN user_id % 3 = 1 THEN event_id END)::INTEGER AS b, max(CASE WHEN user_id % 3 = 2 THEN event_id END)::INTEGER AS c FROM events)
+SELECT 'r0' AS node, '10,' || b || ',' || c AS clock FROM m UNION ALL SELECT 'r1', a || ',10,' || c FROM m UNION ALL SELECT 'r2', a || ',' || b || ',10' FROM m""")
+def gossip_clocks(spark, d):
+    """Three replicas send their clocks to one another; each takes the elementwise maximum and sets its own slot to its time."""
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    clock = [("clock", "array<int>")]
+
+    def replica(i: int) -> Executor:
+        own = ev.where(F.col("user_id") % 3 == i).agg(F.max("event_id").cast("int").alias("e"))
+        start = Relation.of(own.select(vclock.with_slot(F.array(*[F.lit(0)] * 3), i, F.col("e")).alias("clock")))
+        p = Program(spark, f"r{i}").table("clock", clock).channel("merge", [("addr", "string"), *clock]).bootstrap(lambda c: [c.clock.merge(start)])
+        to = lambda c: Relation.iterable(spark, [(f"r{k}",) for k in range(3) if k != i], "addr string").cross(c.clock.scan())
+        both = lambda c: c.merge.scan().cross(c.clock.scan())
+        all_ = UserAggregate("Max", (1, 2), lambda a, b: F.array(*[F.max(F.greatest(F.get(a, F.lit(k)), F.get(b, F.lit(k)))) for k in range(3)]))
+        rules = lambda c: [
+            c.merge.merge(lambda now: to(c)),
+            c.clock.delete_later(lambda now: both(c).project(2)),
+            c.clock.merge_later(lambda now: both(c).group_by([], all_).map(lambda r: [vclock.with_slot(r[0], i, now)])),
+        ]
+        return p.rules(rules).start()
+
+    nodes = [replica(i) for i in range(3)]
+    for n in nodes:
+        n.bootstrap_tick()
+        n.tick()
+    sent = [(n, n.take_sent()) for n in nodes]
+    for n in nodes:
+        rows = [df.where(F.col("addr") == n.address) for m, out in sent if m is not n for _, _, df in out]
+        n.receive("merge", rows[0].unionByName(rows[1]))
+        n.tick()
+    out = [n["clock"].df.select(F.lit(n.name).alias("node"), F.array_join(F.transform("clock", lambda x: x.cast("string")), ",").alias("clock")) for n in nodes]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("""SELECT 'c' AS addr, p_partkey AS id, p_size > 1 AND NOT list_contains(list_transform(range(2, p_size), lambda x: p_size % x = 0), true) AS is_prime FROM part""")
 def primality_service(spark, d):
     """A service whose answers come from a Python function of the request."""
@@ -463,9 +655,103 @@ def lineage_closure(spark, d):
     return closure(_edges(spark, d), start).select(F.col("hash").alias("id"), "steps")
 
 
+@query(f"WITH {_STEPS} SELECT a AS tuple, b AS dep, 0 AS rule FROM e WHERE t IN ('view', 'click') AND a = (SELECT max(a) FROM e WHERE t IN ('view', 'click'))")
+def backward_step(spark, d):
+    """One step back from one tuple, over a history in memory."""
+    src = written(_edges(spark, d).select(F.col("hash").alias("a"), F.col("dep_hash").alias("b")), "pairs")
+    last = src.agg(F.max("a")).first()[0]
+    history = MemoryHistory(spark)
+    p = Program(spark, "n").table("t", [("x", "bigint")]).table("p", [("a", "bigint"), ("b", "bigint")]).table("s", [("x", "bigint")])
+    p = p.bootstrap(lambda c: [c.t.merge(_read(spark, d, "events", "event_id")), c.p.merge(Relation.of(src))])
+    node = p.rules(lambda c: [c.s.merge(lambda now: c.t.scan().hash_join(c.p.scan(), [0], [1]).project(1))]).start(history)
+    node.bootstrap_tick()
+    node.tick()
+    of = spark.range(1).select(tx.tuple_hash(F.lit(last).cast("bigint")).alias("h")).first()[0]
+    e = debugger.backward(history, "n", "s", of, node.time).where("dep_collection = 't'")
+    t = node["t"].state.select(F.col("_hash").alias("dh"), F.col("x").alias("dep"))
+    return e.join(t, F.col("dep_hash") == F.col("dh")).select(F.lit(last).alias("tuple"), "dep", "rule")
+
+
+@query("SELECT o_orderkey AS x, 'a' AS dep_node, 1 AS dep_time, 1 AS time FROM orders UNION ALL SELECT o_orderkey, 'b', 1, 2 FROM orders")
+def networked_lineage(spark, d):
+    """A message comes from the same tuple in the sender's channel; what the receiver stores comes from the message."""
+    history = History(spark, _folder(spark, "history"))
+    src = _read(spark, d, "orders", "'b' as addr", "o_orderkey as x")
+    cols = [("addr", "string"), ("x", "bigint")]
+    a = Program(spark, "a").channel("c", cols).rules(lambda c: [c.c.merge(src)]).start(history)
+    b = Program(spark, "b").channel("c", cols).table("got", [("x", "bigint")]).rules(lambda c: [c.got.merge(lambda now: c.c.scan().project(1))]).start(history)
+    a.tick()
+    deliver(a, [b])
+    b.tick()
+    e = history.edges().where("node = 'b'")
+    rows = src.df.select("x", tx.tuple_hash(F.col("addr"), F.col("x")).alias("of")).unionByName(src.df.select("x", tx.tuple_hash(F.col("x")).alias("of")))
+    return e.join(rows, F.col("hash") == F.col("of")).select("x", "dep_node", "dep_time", "time")
+
+
+@query("""SELECT 'kept' AS collection, 'Table' AS kind, 2 AS n_columns, count(*)::BIGINT AS tuples, 's <= Collection(kept)' AS rule FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)
+UNION ALL SELECT 's', 'Scratch', 2, count(*)::BIGINT, 'kept <= Iterable' FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)""")
+def catalog(spark, d):
+    """The catalog's collections with their tuples over all time, and the rules of the node, the bootstrap ones too."""
+    history = History(spark, _folder(spark, "history"))
+    src = _orders(spark, d)
+    node = Program(spark, "n").table("kept", KV).scratch("s", KV).bootstrap(lambda c: [c.kept.merge(src)]).rules(lambda c: [c.s.merge(lambda now: c.kept.scan())]).start(history)
+    node.run([])
+    node.tick()
+    counts = [history.history("n", c).agg(F.countDistinct("_hash").alias("tuples")).select(F.lit(c).alias("of"), "tuples") for c in ("kept", "s")]
+    texts = debugger.rule_texts(history, "n").select(F.lit("kept").alias("c"), F.col("text").alias("rule")).unionByName(debugger.rule_texts(history, "n", True).select(F.lit("s").alias("c"), F.col("text").alias("rule")))
+    found = debugger.collections(history, "n").join(counts[0].unionByName(counts[1]), F.col("collection") == F.col("of")).join(texts, F.col("collection") == F.col("c"))
+    assert debugger.address(history, "n") == "n" and debugger.nodes(history).count() == 1
+    return found.select("collection", "kind", F.size("columns").alias("n_columns"), "tuples", "rule")
+
+
+@query("SELECT event_id, CASE WHEN event_id <= 3 THEN event_id - 1 ELSE 3 + (event_id - 4) % 5 END AS rule FROM events WHERE event_id > 0")
+def rule_at_times(spark, d):
+    """What runs at each logical time of a node with two bootstrap rules and three rules."""
+    return spark.read.parquet(f"{d}/events.parquet").where("event_id > 0").select("event_id", debugger.rule_at_time(F.col("event_id"), 2, 3).alias("rule"))
+
+
 # ---- lineage of opaque services
 
 
+def _boxes(spark: SparkSession, d: str) -> BlackBoxes:
+    """Views are answered by a store of purchases: each depends on its user's last purchase, stated in SQL or in Python."""
+    view = f"store_{uuid.uuid4().hex[:12]}"
+    ev = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", F.xxhash64("event_id").alias("hash"), F.col("event_id").cast("int").alias("time_inserted"), F.col("ts").alias("ptime_inserted"))
+    ev.createOrReplaceTempView(view)
+    sql = f"""SELECT 'purchase' AS collection, max_by(w.hash, w.event_id) AS hash, max(w.time_inserted) AS time_inserted, max_by(w.ptime_inserted, w.event_id) AS ptime_inserted
+    FROM {view} w JOIN {view} r ON w.user_id = r.user_id AND w.event_id <= r.event_id WHERE r.event_id = :id AND w.event_type = 'purchase' HAVING count(*) > 0"""
+    own = ev.where("event_type = 'view'").select(F.col("event_id").alias("id"), F.lit("view").alias("collection"), "hash", "time_inserted", "ptime_inserted")
+
+    def python(spark: SparkSession, ids: DataFrame) -> DataFrame:
+        asked = ev.join(ids, F.col("event_id") == F.col("id"), "left_semi")
+        last = patterns.last_write(ev.where("event_type = 'purchase'").withColumn("v", F.struct("hash", "ptime_inserted")), asked, "user_id", "event_id", "v").where("write_time is not null")
+        return last.select(F.col("event_id").alias("id"), F.lit("purchase").alias("collection"), "v.hash", F.col("write_time").cast("int").alias("time_inserted"), "v.ptime_inserted")
+
+    boxes = BlackBoxes(spark)
+    boxes.register_sql("response", sql, lambda: own)
+    boxes.register_python("other", python)
+    boxes.register_python("pure", lambda spark, ids: own.select("id", *own.columns[1:]).limit(0))
+    return boxes
+
+
+_LAST = """(SELECT g.event_id AS id, max(s.event_id)::INTEGER AS time_inserted FROM events g JOIN events s ON s.user_id = g.user_id AND s.event_id <= g.event_id WHERE g.event_type = 'view' AND s.event_type = 'purchase' GROUP BY 1)"""
+
+
+@query(f"SELECT id, 'purchase' AS collection, time_inserted FROM {_LAST} UNION ALL SELECT event_id, 'view', event_id::INTEGER FROM events WHERE event_type = 'view'")
+def bb_sql_dispatch(spark, d):
+    """Lineage stated in SQL, for all responses at once: what the template gives, and the request itself."""
+    views = _kind(spark, d, "view").select("event_id")
+    return _boxes(spark, d).lineage_of("response", views).select("id", "collection", "time_inserted")
+
+
+@query(f"SELECT id, 'purchase' AS collection, time_inserted FROM {_LAST}")
+def bb_python_dispatch(spark, d):
+    """Lineage stated as a Python function, and that of a pure function, which is empty."""
+    boxes, views = _boxes(spark, d), _kind(spark, d, "view").select("event_id")
+    found = boxes.lineage_of("other", views).unionByName(boxes.lineage_of("pure", views))
+    return found.select("id", "collection", "time_inserted")
+
+
 def _kind(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type") == kind)
 
@@ -488,6 +774,14 @@ def bb_set_append_unbounded(spark, d):
     return patterns.set_then_appends(_kind(spark, d, "signup"), _kind(spark, d, "click"), _kind(spark, d, "view"), "user_id", "event_id", bounded=False)
 
 
+@query("""WITH g AS (SELECT user_id, event_id, (SELECT max(event_id) FROM events s WHERE s.event_type = 'signup' AND s.user_id = g.user_id AND s.event_id <= g.event_id) AS set_at FROM events g WHERE event_type = 'view')
+SELECT user_id, event_id, 'set' AS kind, set_at AS write_time FROM g WHERE set_at IS NOT NULL
+UNION ALL SELECT g.user_id, g.event_id, 'append', a.event_id FROM g JOIN events a ON a.user_id = g.user_id WHERE a.event_type = 'click' AND a.event_id <= g.event_id AND (set_at IS NULL OR a.event_id > set_at)""")
+def bb_set_append_rows(spark, d):
+    """The writes themselves that each read depends on."""
+    return patterns.set_append_lineage(_kind(spark, d, "signup"), _kind(spark, d, "click"), _kind(spark, d, "view"), "user_id", "event_id")
+
+
 _CLOCKS = """k AS (SELECT user_id, event_id, event_type, (event_id % 3)::INTEGER AS slot, (event_id // 1000)::INTEGER AS g, event_id::INTEGER AS t FROM events),
 c AS (SELECT *, CASE WHEN slot = 0 THEN t ELSE g END AS c0, CASE WHEN slot = 1 THEN t ELSE g END AS c1, CASE WHEN slot = 2 THEN t ELSE g END AS c2 FROM k),
 w AS (SELECT * FROM c WHERE event_type = 'purchase'), r AS (SELECT * FROM c WHERE event_type = 'view'),

@@ -118,6 +118,22 @@ def test_lineage(spark):
     assert lineage(rel(spark, [(1, 2)]))[(1, 2)] == set()
 
 
+def test_lineage_of_groups_goes_on(spark):
+    """What a group comes from stays with it through maps, filters, joins, impure functions and further groups."""
+    t, r = stored(spark, [1, 2, 3, 4]), stored(spark, [0, 1], "r", (9,))
+    odd = t.map(lambda x: [x[0] % 2, x[0]]).group_by([0], Count())
+    ids = {0: {("t", 2, 42), ("t", 4, 42)}, 1: {("t", 1, 42), ("t", 3, 42)}}
+    assert lineage(odd) == {(k, 2): v for k, v in ids.items()}
+    assert lineage(odd.filter(lambda x: x[0] == 1).map(lambda x: [x[0] * 10, x[1]]).project(0)) == {(10,): ids[1]}
+    small = r.map(lambda x: [x[0]])
+    assert lineage(odd.hash_join(small, [0], [0])) == {(k, 2, k): v | {("r", k, 9)} for k, v in ids.items()}
+    assert lineage(small.hash_join(odd, [0], [0])) == {(k, k, 2): v | {("r", k, 9)} for k, v in ids.items()}
+    assert lineage(odd.map_udf(lambda k, n: (k + n,), "x bigint", impure=True)) == {(k + 2,): v for k, v in ids.items()}
+    assert lineage(odd.flat_map_udf(lambda k, n: [(k,)] * n, "x bigint")) == {(k,): v for k, v in ids.items()}
+    assert lineage(odd.group_by([1], Count())) == {(2, 2): ids[0] | ids[1]}
+    assert lineage(odd.cross(small)) == {(k, 2, j): v | {("r", j, 9)} for k, v in ids.items() for j in (0, 1)}
+
+
 def test_unread_lineage_is_pruned(spark, tmp_path):
     spark.createDataFrame([(1, 1, [1])], "x int, _hash bigint, _times array<int>").write.parquet(str(tmp_path / "t"))
     r = Relation.scan(spark.read.parquet(str(tmp_path / "t")), "t", ["x"]).project(0)

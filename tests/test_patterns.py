@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brookline.functions import text, vclock
 from brookline.plans import patterns
+from brookline.operators.relation import Relation
 from brookline.plans.blackbox import BlackBoxes, check_channels
 from brookline.plans.program import Program
 from brookline.streaming.run import run_stream
@@ -26,6 +27,42 @@ def test_byte_range(spark):
     assert sorted(map(tuple, patterns.byte_range(w, r, "f", cell=4).collect())) == [(5, 1), (5, 2), (6, 2)]
 
 
+def test_byte_range_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    writes = [("f", t, rng.randrange(60), rng.randrange(25)) for t in range(0, 80, 2)]
+    reads = [("f", t, a, a + rng.randrange(20)) for t in range(1, 80, 4) for a in (rng.randrange(60),)]
+    want = set()
+    for _, t, a, b in reads:
+        for byte in range(a, b):
+            on = [w for _, w, s, n in writes if w < t and s <= byte < s + n]
+            want |= {(t, max(on))} if on else set()
+    w, r = spark.createDataFrame(writes, "f string, time bigint, start bigint, size bigint"), spark.createDataFrame(reads, "f string, time bigint, start bigint, stop bigint")
+    for cell in (7, 1 << 16):
+        assert {tuple(x) for x in patterns.byte_range(w, r, "f", cell=cell).collect()} == want
+
+
+def test_sets_and_appends_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    log = [(rng.choice("ab"), t, rng.choice("sarr")) for t in range(60)] + [("c", 5, "r"), ("c", 6, "a"), (None, 7, "r")]
+    log += [("d", 3, "s"), ("d", 3, "a"), ("d", 3, "r")]
+    of = lambda x: spark.createDataFrame([(k, t) for k, t, y in log if y == x], "k string, t bigint")
+    for bounded in (True, False):
+        counts, rows = set(), set()
+        for k, t, y in log:
+            if y == "r":
+                at = max((u for j, u, z in log if (j, z) == (k, "s") and u <= t), default=None)
+                after = [u for j, u, z in log if (j, z) == (k, "a") and (at is None or u >= at) and (u <= t or not bounded)]
+                counts.add((k, t, at, len(after)))
+                rows |= {(k, t, "append", u) for u in after} | ({(k, t, "set", at)} if at is not None else set())
+        for cell in (4, 4096):
+            assert {tuple(x) for x in patterns.set_then_appends(of("s"), of("a"), of("r"), "k", "t", bounded, cell).collect()} == counts
+            assert {tuple(x) for x in patterns.set_append_lineage(of("s"), of("a"), of("r"), "k", "t", bounded, cell).collect()} == rows
+
+
 def test_copies_follow_the_newest(spark):
     made = spark.createDataFrame([("x", 1), ("y", 2), ("x", 9)], "object string, time bigint")
     copies = spark.createDataFrame([("z", "x", 5), ("v", "z", 6)], "object string, source string, time bigint")
@@ -96,6 +133,31 @@ def test_black_boxes(spark):
     assert [boxes.kind(x) for x in ("f_response", "g_response", "h")] == ["sql", "python", "regular"]
 
 
+def test_stream_takes_up_where_it_ended(spark, tmp_path):
+    """A node that starts anew has its tables and clock again; timers fire in the stream; lines too can be streamed."""
+    src = tmp_path / "in"
+    add = lambda rows: spark.createDataFrame([(x,) for x in rows], "stdin string").coalesce(1).write.mode("append").parquet(str(src))
+    lines = lambda: spark.readStream.schema("stdin string").parquet(str(src))
+
+    def node():
+        p = Program(spark, "n").stdin().periodic("p", 10).table("t", [("v", "string")]).table("beats", [("id", "bigint")]).table("boot", [("x", "int")])
+        p = p.bootstrap(lambda c: [c.boot.merge(Relation.iterable(spark, [(1,)], "x int"))])
+        return p.rules(lambda c: [c.t.merge(lambda now: c.stdin.scan()), c.beats.merge(lambda now: c.p.scan().project(0))]).start()
+
+    add(["a", "b"])
+    first = node()
+    run_stream(first, lines(), "stdin", str(tmp_path / "ck"), clock=lambda: 25).awaitTermination()
+    assert {r.v for r in first["t"].df.collect()} == {"a", "b"} and {r.id for r in first["beats"].df.collect()} == {0, 1}
+    add(["c"])
+    second = node()
+    run_stream(second, lines(), "stdin", str(tmp_path / "ck")).awaitTermination()
+    assert {r.v for r in second["t"].df.collect()} == {"a", "b", "c"} and second["boot"].df.count() == 1
+    assert second.time > first.time and {tuple(r)[:-2]: list(r._times) for r in first["t"].state.collect()}.items() <= {tuple(r)[:-2]: list(r._times) for r in second["t"].state.collect()}.items()
+    third = node()
+    run_stream(third, lines(), "stdin", str(tmp_path / "ck")).awaitTermination()
+    assert third.time == second.time and {r.v for r in third["t"].df.collect()} == {"a", "b", "c"}
+
+
 def test_stream_in_order_and_no_replay(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "seq int, v string").coalesce(1).write.parquet(str(src))

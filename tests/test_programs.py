@@ -158,6 +158,41 @@ def test_history_and_provenance(spark, tmp_path):
     assert [rule_at(t, 1, 2) for t in range(1, 8)] == [0, 1, 2, 3, 4, 5, 2] and rule_at(1, 0, 2) == 0
 
 
+def test_history_in_memory_and_after_a_restart(spark, tmp_path):
+    from brookline.plans import debugger
+    from brookline.sources.history import MemoryHistory
+
+    def run(h, zero_at=0):
+        p = Program(spark, "n", "host:1").table("t", X).scratch("s", X).bootstrap(lambda c: [c.t <= zero(spark)])
+        n = p.rules(lambda c: [c.s.merge(lambda now: plus1(c.t)), c.t.merge(lambda now: c.s.scan())]).start(h)
+        n.run([])
+        n.tick()
+
+    memory, disk = MemoryHistory(spark), History(spark, f"file://{tmp_path}/h")
+    run(memory)
+    run(disk)
+    rows = lambda h, c: sorted((r.x, r.time_inserted, r.time_deleted or 0) for r in h.history("n", c).collect())
+    edges = lambda h: sorted((r.dep_hash, r.dep_time, r.rule, r.hash, r.time) for r in h.edges().collect())
+    assert rows(memory, "s") == rows(disk, "s") and rows(memory, "t") == rows(disk, "t") and edges(memory) == edges(disk)
+    again = History(spark, f"file://{tmp_path}/h")
+    assert again.seq == disk.seq > 0
+    run(again)
+    assert len(rows(again, "s")) == 2 * len(rows(memory, "s")) and all(d for _, _, d in rows(again, "s"))
+    assert debugger.address(again, "n") == "host:1" and [r.node for r in debugger.nodes(again).collect()] == ["n"]
+    assert [r.text for r in debugger.rule_texts(again, "n").collect()] == ["s <= Map(Collection(t))", "t <= Collection(s)"]
+    assert [r.text for r in debugger.rule_texts(again, "n", True).collect()] == ["t <= Iterable"]
+    assert {r.collection for r in debugger.collections(again, "n").collect()} == {"t", "s"}
+
+
+def test_many_parts_are_one_state(spark):
+    """More merges than parts that a collection keeps: times and tuples are as ever, also after deletes."""
+    p = Program(spark, "n").table("t", X)
+    n = p.rules(lambda c: [c.t.merge(lambda now: zero(spark)), c.t.merge(lambda now: zero(spark).map(lambda r: [F.lit(now)]))]).start()
+    for _ in range(6):
+        n.tick()
+    assert state(n, "t") == {(0,): [1, 4, 7, 10, 13, 16], **{(t,): [t] for t in range(2, 18, 3)}}
+
+
 def test_sent_tuples_come_and_go_at_once(spark, tmp_path):
     h = History(spark, f"file://{tmp_path}/h")
     src = Relation.iterable(spark, [("b", 1)], "addr string, x int")
