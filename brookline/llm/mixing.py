@@ -19,10 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import running, word_count, written
 
 WEIGHTS = (3, 1, 2)
 
@@ -31,29 +31,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     """(source, source_size) with target added: share of all sizes split by weight, none above cap times its source.
 
     Water filling: sources in order of cap * size / weight; the first ones are held at their cap and
-    the rest share what is left by weight.
+    the rest share what is left by weight. Sources are ranked and summed range by range, so they may be many.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    name = F.col("source").asc_nulls_last()
+    ranked = running(sizes, [name], {"rank": F.lit(1)}, "mix-sources")
     full = F.lit(float(cap)) * F.col("source_size")
-    t = sizes.withColumn("weight", w).withColumn("ratio", full / F.col("weight"))
-    up = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = (
-        t.withColumn("held", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("open", F.sum("weight").over(after))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("level", (F.lit(float(share)) * F.col("total") - F.lit(float(cap)) * F.col("held")) / F.col("open"))
-    )
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    t = ranked.withColumn("weight", w).withColumn("ratio", full / F.col("weight")).drop("rank")
+    t = running(t, [F.col("ratio").asc(), name], {"held": F.col("source_size"), "taken": F.col("weight")}, "mix-ratios")
+    t = written(t, "mix-levels")
+    every = t.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    t = t.crossJoin(F.broadcast(every)).withColumn("level", (F.lit(float(share)) * F.col("total") - F.lit(float(cap)) * F.col("held")) / (F.col("weights") - F.col("taken")))
     # the first source whose ratio is not below the level it would get sets the level for all after it
-    t = t.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", F.col("source").isNull(), "source", F.col("level").alias("at")))).over(everything)["at"])
-    return t.select("source", "source_size", F.when(F.col("level").isNull(), full).otherwise(F.least(full, F.col("level") * F.col("weight"))).alias("target"))
+    first = t.agg(F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", F.col("source").isNull().alias("none"), "source", F.col("level").alias("at"))))["at"].alias("set"))
+    t = t.crossJoin(F.broadcast(first))
+    return t.select("source", "source_size", F.when(F.col("set").isNull(), full).otherwise(F.least(full, F.col("set") * F.col("weight"))).alias("target"))
 
 
-def systematic_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
-    """Per document: doc_id, text_hash, source, size, source_size, target, copies."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+def systematic_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 0, apart: Column | None = None) -> DataFrame:
+    """Per document: doc_id, text_hash, source, size, source_size, target, copies. ``apart``: what tells rows of one doc_id apart, the text at least."""
+    text_hash = F.xxhash64("text") if apart is None else apart
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_hash.alias("text_hash"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
     line = [F.col("source").asc_nulls_last(), "size", "key", "doc_id", "text_hash"]
     sized = written(sized.repartitionByRange(*line).withColumn("part", F.spark_partition_id()), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
@@ -73,12 +71,13 @@ def systematic_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
-    copies = systematic_copies(docs, **options)
+    whole = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields])
+    copies = systematic_copies(docs, apart=whole, **options)
     # equal rows can't be told apart: their copies are added up and one of them carries the sum
     key = ["doc_id", "source", "text_hash"]
     total = copies.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     total = total.select(*[F.col(c).alias(f"__{c}") for c in [*key, "copies", "rows"]])
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.xxhash64("text").alias("__hash"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), whole.alias("__hash"))
     row = F.col("__row")
     found = given.join(total, row["doc_id"].eqNullSafe(F.col("__doc_id")) & row["source"].eqNullSafe(F.col("__source")) & (F.col("__hash") == F.col("__text_hash")))
     once = found.where("__rows = 1").unionByName(found.where("__rows > 1").dropDuplicates(["__doc_id", "__source", "__text_hash"]))

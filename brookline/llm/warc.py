@@ -35,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import new_folder, running, written
 
 SHARD_BYTES, ROLL_BYTES, LEAST_DUP = 64 << 20, 32 << 20, 100
 MOST, MOST_TASKS = 1 << 18, 1 << 16
@@ -123,14 +123,10 @@ def _placed(p: DataFrame, shard_bytes: int) -> tuple[DataFrame, Cuts, int]:
     line = [F.col("page_id").asc_nulls_first(), F.col("digest")]
     keys = p.groupBy("page_id", "digest").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"), F.min("url").alias("url"))
     keys = keys.withColumn("held", F.col("n") * (F.col("bytes") + OVERHEAD))
-    keys = written(keys.repartitionByRange(*line).withColumn("part", F.spark_partition_id()), "warc-keys")
-    total = keys.agg(F.sum("held")).first()[0] or 0
+    placed = written(running(keys, line, {"at": F.col("held")}, "warc-order"), "warc-keys")
+    total = placed.agg(F.sum("held")).first()[0] or 0
     size = max(shard_bytes, -(-total // MOST))
-    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    ahead = keys.groupBy(F.col("part").alias("of")).agg(F.sum("held").alias("sum")).select("of", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("ahead"))
-    here = Window.partitionBy("part").orderBy(*line).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("ahead") + F.coalesce(F.sum("held").over(here), F.lit(0))
-    placed = keys.join(ahead, F.col("part") == F.col("of")).withColumn("from", F.floor(at / size).cast("int")).withColumn("to", F.floor((at + F.col("held")) / size).cast("int"))
+    keys, placed = placed, placed.withColumn("from", F.floor(F.col("at") / size).cast("int")).withColumn("to", F.floor((F.col("at") + F.col("held")) / size).cast("int"))
     key = F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "digest")
     cuts = placed.groupBy("from").agg(F.min(key).alias("k")).select("k.page_id", "k.digest", "from").collect()  # MOST rows at most
     heavy = placed.where(F.col("held") > size).select("page_id", "digest", "from", "to", "url").collect()

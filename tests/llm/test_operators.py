@@ -954,6 +954,38 @@ def test_mixing_reaches_targets(spark):
     assert once == {(r.doc_id, r.copies) for r in mixing.systematic_copies(docs.repartition(7)).collect()}
 
 
+def test_mixing_keeps_rows_apart(spark):
+    """Rows that differ only in columns beside id, source and text are documents of their own; none stands for another."""
+    rows = [(i // 2, "one two three four", "s", {"k": i}, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, extra int")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and len({r.extra for r in out.collect()}) == 40  # 150 % of one source: each once or twice
+
+
+def test_targets_of_many_sources_equal_brute_force(spark):
+    """Water filling over many sources, one of them null, one empty."""
+    import random
+
+    rng = random.Random(4)
+    sizes = {f"s{i:03d}": rng.choice([0, 1, 10, 1000, 10**6]) for i in range(300)} | {None: 77}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(df.repartition(5)).collect()}
+    names = sorted(x for x in sizes if x is not None) + [None]
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}
+    left, open_, want = 1.5 * sum(sizes.values()), set(names), {}
+    while open_:
+        level = left / sum(weight[n] for n in open_)
+        full = {n for n in open_ if 2 * sizes[n] < level * weight[n]}
+        if not full:
+            want |= {n: level * weight[n] for n in open_}
+            break
+        for n in full:
+            want[n] = 2.0 * sizes[n]
+            left -= want[n]
+        open_ -= full
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-6 * max(1, want[n]) for n in want)
+
+
 # ---- registered queries and the pipeline
 
 
