@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brookline.llm import decontaminate, mixing, neardup, quality_model, secrets
-from brookline.llm.common import table, written
+from brookline.llm.common import drop_written, settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    docs, made = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = settled(spark, f"pipeline-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if made is not None:
+            drop_written(made)
+        made = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
