@@ -103,6 +103,54 @@ def test_quality_statistics_and_votes_equal_brute_force(spark, docs, odd):
             assert got == sum(d * 3**k for k, d in enumerate(digits))
 
 
+def test_quality_scores_equal_brute_force(spark, docs):
+    """EM by plain loops over texts, then each text's posterior and score summed feature by feature."""
+    import numpy as np
+    import pyarrow as pa
+
+    from brookline.llm.textvec import chunks
+
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    vote = {}
+    for i, t in rows.items():
+        s = brute_quality(t)
+        vote[i] = [0 if not WORDS.search(t) else 1 if v <= good else 2 if v >= bad else 0 for v, (_, good, bad) in zip(s, quality_model.LABELLERS, strict=True)]
+    q = {i: (v.count(1) + 1) / (v.count(1) + 3 * v.count(2) + 2) for i, v in vote.items()}
+    for _ in range(50):
+        prior, table = sum(q.values()) / len(q), {}
+        for k in range(quality_model.N):
+            for cls in (0, 1):
+                x = [1.0 + sum(q[i] if cls else 1 - q[i] for i, v in vote.items() if v[k] == d) for d in range(3)]
+                for d in range(3):
+                    table[k, cls, d] = x[d] / sum(x)
+        for i, v in vote.items():
+            p = [(prior if cls else 1 - prior) * math.prod(table[k, cls, v[k]] for k in range(quality_model.N)) for cls in (0, 1)]
+            q[i] = p[1] / sum(p)
+    em = quality_model.labellers(docs)
+    assert abs(float(em["prior"]) - prior) < 1e-9 and all(abs(em["accuracy"][key] - v) < 1e-9 for key, v in table.items())
+    w = quality_model.train(docs.select("doc_id", "text"), em)
+    got = {r.doc_id: r for r in quality_model.classify(docs, w, em, [F.col("doc_id")]).collect()}
+    mix = lambda x: int(quality_model.mix(np.array([x % (1 << 64)], np.uint64))[0]) >> 50
+    shapes = {}
+
+    def shape(word):
+        if word not in shapes:
+            (c,) = chunks(pa.array([word]))
+            shapes[word] = int(quality_model.statistics(c)[1]["shape"][0])
+        return shapes[word]
+
+    for i, t in list(rows.items())[:60]:
+        words, total = WORDS.findall(t), w[-1]
+        h = [shape(x) for x in words]
+        total += sum(w[mix(x + 1)] for x in h) / max(1, len(h)) + sum(w[mix(a * 31 + b + 2)] for a, b in zip(h, h[1:], strict=False)) / max(1, len(h))
+        if words:
+            cells = [min(int(v * quality_model.CELLS), quality_model.CELLS) for v in brute_quality(t)]
+            total += sum(w[mix(k * (quality_model.CELLS + 1) + c + (1 << 50))] for k, c in enumerate(cells))
+        score = 1 / (1 + math.exp(-max(-30, min(30, total))))
+        assert abs(got[i].score - score) < 1e-6 and abs(got[i].posterior - q[i]) < 1e-9 and got[i].n_words == len(words)
+        assert got[i].kept == (score >= quality_model.THRESHOLD and bool(words))
+
+
 def test_quality_sample_is_bounded(spark):
     """Null and equal ids do not widen the sample, nor do equal rows; long texts do not widen its bytes."""
     import numpy as np
@@ -770,6 +818,52 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.query(odd, labels.limit(0)).count() == odd.count() and toxicity.query(empty, labels).count() == 0
 
 
+def test_toxicity_scores_equal_brute_force(spark, docs):
+    """Every text's score: the highest of its windows, each read step by step in both directions."""
+    import numpy as np
+    import pyarrow as pa
+
+    from brookline.llm.textvec import chunks
+
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    net = toxicity.fit(docs, labels, max_train=60, epochs=2)
+    some = docs.where("length(text) < 1500").orderBy("doc_id").limit(25).select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "!! --"), (-4, "one"), (-5, " ".join(f"w{i}" for i in range(49)))], "doc_id long, text string")
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        (c,) = chunks(pa.array([word]))
+        return net.vectors(toxicity.Text(c))[1].astype(float)
+
+    def window(xs):
+        states = {}
+        n = toxicity.HIDDEN
+        for d in "fb":
+            h, out = np.zeros(n), [None] * len(xs)
+            for t in range(len(xs)) if d == "f" else range(len(xs) - 1, -1, -1):
+                x, u = xs[t][0] @ net.p[f"x{d}"] + net.p[f"c{d}"], h @ net.p[f"u{d}"]
+                r, z = sig(x[:n] + u[:n]), sig(x[n : 2 * n] + u[n : 2 * n])
+                h = (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :]) + z * h
+                out[t] = h
+            states[d] = out
+        both = [np.concatenate([states["f"][t], states["b"][t]]) for t in range(len(xs)) if xs[t][1]]
+        a = np.array([np.exp(b @ net.p["att"]) for b in both])
+        return sig(sum(x * b for x, b in zip(a / a.sum(), both, strict=True)) @ net.p["out"] + net.p["bias"][0])
+
+    def brute(t):
+        words = [w for w in WORDS.findall(t or "") if any(c.isascii() and c.isalnum() or not c.isascii() for c in w)]
+        if not words:
+            return net.prior
+        xs = [(vector(w), True) for w in words] + [(net.p["pad"][0].astype(float), False)] * toxicity.WINDOW
+        many = max(1, -(-(len(words) - (toxicity.WINDOW - toxicity.STRIDE)) // toxicity.STRIDE))
+        return max(window(xs[k * toxicity.STRIDE : k * toxicity.STRIDE + toxicity.WINDOW]) for k in range(many))
+
+    every = some.unionByName(extra)
+    got = {r.doc_id: r.score for r in toxicity.score(every, net, [F.col("doc_id")]).collect()}
+    want = {r.doc_id: brute(r.text) for r in every.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
 def test_toxicity_sample_is_bounded(spark):
     """Repeated ids, both labels and long texts: rows and bytes stay bounded, the sample is the same each time."""
     long_ = " ".join(f"w{i}" for i in range(200_000))
