@@ -223,7 +223,7 @@ def _compared(rows: DataFrame, percent: int, width: int) -> DataFrame:
             x = [sets[i] for i in left]
             hx, rx = np.concatenate(x), np.repeat(np.arange(len(x)), size[left])
             both = np.intersect1d(hx, hy)
-            counts = np.zeros((len(x), len(y)), np.float32)
+            counts = np.zeros((len(x), len(y)))
             for part in np.split(both, np.arange(2048, len(both), 2048)):
                 sides = []
                 for h, r, n in ((hx, rx, len(x)), (hy, ry, len(y))):
@@ -234,7 +234,7 @@ def _compared(rows: DataFrame, percent: int, width: int) -> DataFrame:
                     sides.append(m)
                 counts += sides[0] @ sides[1].T
             union = size[left][:, None] + size[right] - counts
-            ok = (100 * counts >= percent * union) & (comp[left][:, None] != comp[right])
+            ok = (counts > 0) & (100 * counts >= percent * union) & (comp[left][:, None] != comp[right])
             i, j = np.nonzero(ok)
             yield doc[left[i]], doc[right[j]]
 
@@ -266,24 +266,29 @@ def _compared(rows: DataFrame, percent: int, width: int) -> DataFrame:
 def _block_pairs(groups: DataFrame, texts: DataFrame, block_bytes: int, near: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """groups: pivot, id, d, comp, stray. The rows of the block pairs that may hold links, as _compared takes them.
 
-    A group of up to ``block_bytes`` and ``block_rows`` is one block: short texts make many rows, and memory goes with rows. Larger ones are cut by distance to the pivot, then by
-    hash; of two blocks whose distances differ by more than ``near`` no pair can be linked (triangle
-    inequality), and blocks without strays are not compared with one another.
+    A group of up to ``block_bytes`` and ``block_rows`` is one block: short texts make many rows, and memory goes with rows. Larger ones are cut into
+    strays and others, by distance to the pivot, then by hash, so that each pair of two blocks of strays, or of
+    strays and others, is compared whole and once. Of two blocks whose distances differ by more than ``near`` no pair can be
+    linked (triangle inequality), and blocks without strays are not compared with one another. The distance says nothing where
+    an id has several texts, or the pivot has: these stand in cell 0, which meets all cells.
     """
     sized = texts.groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows"))
     g = groups.join(sized, "id")
     parts = F.greatest(F.sum("bytes") / block_bytes, F.sum("rows") / block_rows)
-    g = beside(g, g.groupBy("pivot").agg(parts.alias("total")), ["pivot"])
-    cell = F.when(F.col("total") <= 1, F.lit(0)).otherwise(F.floor(F.col("d") * 16) + 1).cast("int")
-    g = g.withColumn("cell", cell)
-    n = g.groupBy("pivot", "cell").agg(F.ceil(parts).cast("int").alias("parts"))
-    g = beside(g, n, ["pivot", "cell"]).withColumn("block", F.struct("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")))
+    vague = F.max((F.col("id") == F.col("pivot")) & (F.col("rows") > 1))
+    g = beside(g, g.groupBy("pivot").agg(parts.alias("total"), vague.alias("vague")), ["pivot"])
+    whole = F.col("total") <= 1
+    cell = F.when(whole | F.col("vague") | (F.col("rows") > 1), F.lit(0)).otherwise(F.floor(F.col("d") * 16) + 1).cast("int")
+    g = g.withColumn("cell", cell).withColumn("apart", ~whole & F.col("stray"))
+    n = g.groupBy("pivot", "cell", "apart").agg(F.ceil(parts).cast("int").alias("parts"))
+    g = beside(g, n, ["pivot", "cell", "apart"]).withColumn("block", F.struct("cell", "apart", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")))
     g = written(g.select("pivot", "id", "comp", "stray", "block"), "neardup-blocks")
     blocks = g.groupBy("pivot", "block").agg(F.max("stray").alias("stray"))
     reach = int(near * 16) + 1
     pairs = blocks.where("stray").select("pivot", F.col("block").alias("s")).join(blocks.select("pivot", F.col("block").alias("t"), F.col("stray").alias("t_stray")), "pivot")
-    # two stray blocks meet once
-    pairs = pairs.where((F.abs(F.col("s.cell") - F.col("t.cell")) <= reach) & (~F.col("t_stray") | (F.col("s") <= F.col("t")))).select("pivot", "s", "t")
+    close = (F.abs(F.col("s.cell") - F.col("t.cell")) <= reach) | (F.col("s.cell") == 0) | (F.col("t.cell") == 0)
+    # two blocks of strays meet once
+    pairs = pairs.where(close & (~F.col("t_stray") | (F.col("s") <= F.col("t")))).select("pivot", "s", "t")
     right = g.join(pairs.withColumn("block", F.col("t")), ["pivot", "block"]).withColumn("other", F.lit(False))
     left = g.where("stray").join(pairs.where("s != t").withColumn("block", F.col("s")), ["pivot", "block"]).withColumn("other", F.lit(True))
     return right.unionByName(left).join(texts, "id")

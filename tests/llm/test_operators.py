@@ -375,6 +375,38 @@ def test_near_duplicates_bounded_rows(spark):
     assert links == want
 
 
+def test_near_duplicates_strays_meet_settled_rows_of_all_blocks(spark):
+    """Two blocks that both hold strays: the strays of either meet the settled rows of the other."""
+    n, share = 48, "these five words are shared by all of one family of texts that goes on for quite some while and then"
+    rows = [(i, f"{share} ends with {' '.join(f'word{i // 2}x{k}' for k in range(4))}") for i in range(n)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    # the even one of each pair of equal texts is in the pivot's component, the odd one is not
+    stray = F.col("id") % 2 == 1
+    d = F.when(stray == (F.col("id") % 4 < 2), F.lit(0.1)).otherwise(F.lit(0.2))
+    groups = texts.select(F.lit(n).cast("long").alias("pivot"), "id", d.alias("d"), F.when(stray, F.col("id")).otherwise(F.lit(n)).cast("long").alias("comp"), stray.alias("stray"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    want = {(max(a, b), min(a, b)) for a in sets for b in sets if a != b and (a % 2 or b % 2) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(want) >= n // 2
+    for options in ({"block_bytes": 1200}, {"block_bytes": neardup.BLOCK_BYTES, "block_rows": 7}, {"block_bytes": neardup.BLOCK_BYTES}):
+        pairs = neardup._block_pairs(groups, texts, near=0.25, **options)
+        made = pairs.groupBy("s", "t").count().count()
+        assert made == 1 if options == {"block_bytes": neardup.BLOCK_BYTES} else made > 4
+        found = [tuple(sorted(r, reverse=True)) for r in neardup._compared(pairs, 75, 5).collect()]
+        assert set(found) == want and len(found) == len(want), options
+
+
+def test_near_duplicates_ids_with_several_texts(spark):
+    """A row's distance to the pivot is that of its nearest text, so other texts of the id meet all blocks."""
+    words = [f"w{i}" for i in range(40)]
+    apart = " ".join(f"z{i}" for i in range(40))
+    rows = [(0, " ".join(words))] + [(i, " ".join([*words[:-2], f"e{i}", f"f{i}"])) for i in range(1, 30)]
+    rows += [(50, rows[0][1] + " more"), (50, apart), (51, apart + " end")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    groups = texts.select("id").distinct().select(F.lit(0).cast("long").alias("pivot"), "id", F.when(F.col("id") == 51, 0.95).when(F.col("id") == 0, 0.0).otherwise(0.05).alias("d"), F.when(F.col("id") == 51, 51).otherwise(0).cast("long").alias("comp"), (F.col("id") == 51).alias("stray"))
+    pairs = neardup._block_pairs(groups, texts, 800, 0.25)
+    assert {(max(r), min(r)) for r in neardup._compared(pairs, 75, 5).collect()} == {(51, 50)}
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = neardup.query(odd).collect()
     assert len(got) == odd.count()
