@@ -9,6 +9,8 @@ head of a rule has set semantics.
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -23,6 +25,8 @@ from ..types import SchemaError, require_same
 LINEAGE, ID = "_lineage", "_id"
 ID_TYPE = "struct<collection:string,hash:bigint,time:int>"
 LINEAGE_TYPE = f"array<{ID_TYPE}>"
+#: Pickled bytes up to which a constant relation is a part of the plan.
+SMALL = 1 << 20
 
 
 class Fields:
@@ -66,8 +70,15 @@ class Relation:
 
     @staticmethod
     def iterable(spark: SparkSession, rows: Iterable[tuple] | Callable[[], Iterable[tuple]], schema: str | T.StructType) -> Relation:
-        """A constant relation; a callable is read anew at each evaluation of the rule."""
-        return Relation.of(spark.createDataFrame(list(rows() if callable(rows) else rows), schema))
+        """A constant relation; a callable is read anew at each evaluation of the rule.
+
+        A small one becomes rows of the plan, whose size Spark knows: a join sends it to all tasks. Rows that come from
+        Python count as endless, so the other side would be shuffled and sorted by its keys, often few.
+        """
+        data = list(rows() if callable(rows) else rows)
+        df = spark.createDataFrame(data, schema)
+        variant = re.search('[tT]ype":"variant"', df.schema.json())  # has no way back from Arrow
+        return Relation.of(df if variant or len(pickle.dumps(data)) > SMALL else spark.createDataFrame(df.toArrow(), df.schema))
 
     @staticmethod
     def scan(df: DataFrame, name: str, names: Sequence[str]) -> Relation:

@@ -1,5 +1,8 @@
 """Operators and aggregates on small literal inputs."""
 
+import datetime
+import decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +21,29 @@ def rel(spark, data, schema="k int, v int"):
     return Relation.iterable(spark, data, schema)
 
 
+def test_constant_is_sent_to_all_tasks(spark):
+    """A join with a constant of few keys neither shuffles nor sends nor sorts the other side."""
+    codes = rel(spark, [("A", 1), ("N", 2), ("R", 3), (None, 4)], "flag string, code int")
+    assert rows(codes.filter(lambda r: r[0].isNotNull())) == [("A", 1), ("N", 2), ("R", 3)]
+    other = Relation.of(spark.range(1000).selectExpr("substr('ANRX', cast(id % 4 + 1 as int), 1) as f", "id"))
+    for joined, side in ((other.hash_join(codes, [0], [0]), "BuildRight"), (codes.hash_join(other, [0], [0]), "BuildLeft")):
+        plan = joined.df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and side in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        assert joined.df.count() == 750
+
+
+def test_constants_keep_values_and_types(spark):
+    at = datetime.datetime(2024, 3, 10, 2, 30)
+    schema = "a string, b int, c array<int>, d map<string,int>, e struct<x:bigint,y:string>, f timestamp, g date, h decimal(10,2), i binary, j double, k boolean"
+    data = [("A", 1, [1, None], {"k": 2}, (1, "x"), at, at.date(), decimal.Decimal("1.20"), b"\x00\x01", 1.5, True), (None,) * 11, ("A", 1, [], {}, (None, None), at, None, None, b"", 0.0, False)]
+    for given in (data, [], data[1:2]):
+        df, want = rel(spark, given, schema).df, spark.createDataFrame(given, schema)
+        assert df.schema == want.schema and df.collect() == want.collect()
+    assert rel(spark, [(1, None)], "k int, v variant").df.collect() == [(1, None)]
+    wide = [(0, "x" * (1 << 21)), (1, "y")]
+    assert [len(r.v) for r in rel(spark, wide, "k int, v string").df.sort("k").collect()] == [1 << 21, 1]
+
+
 def test_count_sum_avg(spark):
     r = rel(spark, PAIRS)
     assert rows(r.group_by([0], Count(1))) == [(0, 2), (1, 3), (2, 1)]
